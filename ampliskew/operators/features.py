@@ -69,15 +69,20 @@ def base_composition(s) -> dict[str, Column]:
     }
 
 
+def stage_dinucleotides(df: DataFrame, seq: str = "sequence") -> DataFrame:
+    """adds ``_di``, the 16 counts and their total; features read it as a column instead of counting again."""
+    return (df.withColumn("_d", F.struct(*[v.alias(k) for k, v in sorted(sq.dinucleotide_counts(seq).items())]))
+            .withColumn("_di", F.struct("_d.*", sum((F.col(f"_d.{a}{b}") for a in "ACGT" for b in "ACGT"), F.lit(0)).alias("total"))).drop("_d"))
+
+
 def dinucleotides(s) -> dict[str, Column]:
-    """F12."""
-    d = sq.dinucleotide_counts(s)
-    total = sum((d[k] for k in sorted(d)), F.lit(0))
+    """F12, from the staged counts."""
+    d = lambda x: F.col(f"_di.{x}")
     n = F.length(s)
     exp = ratio0(sq.n_of(s, "C"), n) * ratio0(sq.n_of(s, "G"), n) * F.greatest(n - 1, F.lit(0))
     per = F.greatest(n - 1, F.lit(1))
-    return {**{f"feat_di_{k}": ratio0(d[k], total) for k in sorted(d)}, "feat_CpG": d["CG"] / per, "feat_UpA": d["TA"] / per,
-            "feat_or_CpG": ratio0(d["CG"], exp)}
+    return {**{f"feat_di_{a}{b}": ratio0(d(a + b), d("total")) for a in "ACGT" for b in "ACGT"}, "feat_CpG": d("CG") / per,
+            "feat_UpA": d("TA") / per, "feat_or_CpG": ratio0(d("CG"), exp)}
 
 
 def homopolymers(s) -> dict[str, Column]:
@@ -184,8 +189,7 @@ def regional_features(regions: DataFrame, seq: str = "sequence") -> DataFrame:
 def core_features(catalog: DataFrame, structure: str | None = None) -> DataFrame:
     """the full feature row per distinct sequence; ``structure`` names a supplied dot-bracket column."""
     d = spread(catalog).withColumn("sequence", sq.clean("sequence"))
-    d = kmer_summaries(d)
-    d = primer_features(d)
+    d = stage_dinucleotides(primer_features(kmer_summaries(d)))
     s = F.col("sequence")
     d = d.withColumn("_pal", arrow.palindromes(s))
     cols = {**base_composition(s), **dinucleotides(s), **homopolymers(s), **complexity(s), **thermo(s)}
@@ -194,7 +198,7 @@ def core_features(catalog: DataFrame, structure: str | None = None) -> DataFrame
     if structure:
         d = d.withColumn("_db", sq.structure_stats(structure))
         cols.update({f"feat_{k}": F.col(f"_db.{k}") for k in ("pair_frac", "stem_max", "loop_max", "hairpin_count")})
-    return d.withColumns(cols).drop("_pal", "_db")
+    return d.withColumns(cols).drop("_pal", "_db", "_di")
 
 
 def attach_mfe(regions: DataFrame, mfe: DataFrame) -> DataFrame:
