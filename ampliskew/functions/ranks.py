@@ -22,7 +22,7 @@ def value_cell(x) -> Column:
     return (F.signum(v) * F.floor(F.log2(F.abs(v) * 1048576.0 + 1.0) * 64)).cast("long")
 
 
-def _cumulate(hist: DataFrame, keys, order, n: str = "_n", descending: bool = False) -> DataFrame:
+def cumulate(hist: DataFrame, keys, order, n: str = "_n", descending: bool = False) -> DataFrame:
     """Adds ``_below``: rows of the group that sort before this histogram line.
 
     ``order[0]`` is the numeric value that the cells follow; further columns break ties.
@@ -43,14 +43,23 @@ def _cumulate(hist: DataFrame, keys, order, n: str = "_n", descending: bool = Fa
 def value_histogram(df: DataFrame, keys, value: str) -> DataFrame:
     """keys, value, _n, _below (rows with a smaller value)."""
     hist = df.where(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return _cumulate(hist, keys, [value])
+    return cumulate(hist, keys, [value])
 
 
-def average_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    """Ascending ranks inside ``keys``, ties share their mean rank; rows with NULL values are dropped."""
-    h = value_histogram(df, keys, value)
-    h = h.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out), F.col("_n").alias(f"{out}_ties"))
-    return df.join(h, [*keys, value])
+def average_ranks(df: DataFrame, keys, values: dict[str, str], ties: bool = False) -> DataFrame:
+    """Ascending ranks inside ``keys``, ties share their mean rank; ``values`` maps value columns to rank columns.
+
+    Rows with NULL in a ranked column are dropped. All histograms are taken from ``df`` itself, so ranking two columns
+    reads it three times and nests nothing.
+    """
+    keys = list(keys)
+    df = df.dropna(subset=list(values))
+    out = df
+    for v, name in values.items():
+        h = value_histogram(df, keys, v)
+        h = h.select(*keys, v, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(name), *([F.col("_n").alias(f"{name}_ties")] if ties else []))
+        out = out.join(h, [*keys, v])
+    return out
 
 
 def ordered_positions(df: DataFrame, keys, value, tie, out: str, descending: bool = True) -> DataFrame:
@@ -63,7 +72,7 @@ def ordered_positions(df: DataFrame, keys, value, tie, out: str, descending: boo
     df = (df.withColumn("_v", c(value).cast("double")).withColumn("_t", F.md5(c(tie).cast("string")))
           .withColumn("_b", F.substring("_t", 1, 2)))
     hist = df.groupBy(*keys, "_v", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    cum = _cumulate(hist, keys, ["_v", "_b"], descending=descending).drop("_n")
+    cum = cumulate(hist, keys, ["_v", "_b"], descending=descending).drop("_n")
     w = Window.partitionBy(*keys, "_v", "_b").orderBy("_t", c(tie))
     return (df.withColumn("_rn", F.row_number().over(w))
             .join(cum, [*keys, "_v", "_b"])
@@ -76,8 +85,11 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) ->
 
     ``keys`` may not be empty: pass a literal column for one overall group.
     """
-    keys = list(keys)
-    h = value_histogram(df, keys, value)
+    return histogram_quantiles(value_histogram(df, list(keys), value), list(keys), value, probs)
+
+
+def histogram_quantiles(h: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from a cumulated histogram (keys, value, _n, _below)."""
     tot = h.groupBy(*keys).agg(F.sum("_n").alias("n"))
     j = h.join(tot, keys)
     aggs = []

@@ -117,11 +117,11 @@ def _(t):
 DI = [a + b for a in "ACGT" for b in "ACGT"]
 
 
-@query("f12_dinucleotides", needs=RC, digits=4, r=" ".join(f"feat_di_{d}" for d in DI) + " feat_CpG feat_UpA feat_or_CpG", sql=f"""
+@query("f12_dinucleotides", needs=RC, r=" ".join(f"feat_di_{d}" for d in DI) + " feat_CpG feat_UpA feat_or_CpG", sql=f"""
 WITH w AS (SELECT seq_id, sequence, length(sequence) AS n, [substr(sequence, i, 2) for i in range(1, length(sequence))] AS w FROM fx_read_catalog),
 d AS (SELECT seq_id, sequence, n, {', '.join(f"len([x for x in w if x = '{d}']) AS d_{d}" for d in DI)}, len([x for x in w if x NOT LIKE '%N%']) AS tot FROM w)
 SELECT seq_id, {', '.join(f"{div0('d_' + d, 'tot')} AS feat_di_{d}" for d in DI)}, d_CG / CAST(n - 1 AS DOUBLE) AS feat_CpG, d_TA / CAST(n - 1 AS DOUBLE) AS feat_UpA,
-  {div0('d_CG', f"({n_sql('C')} * {n_sql('G')} * (n - 1) / CAST(n * n AS DOUBLE))")} AS "feat_or_CpG" FROM d""")
+  {div0('d_CG', f"(({n_sql('C')} / CAST(n AS DOUBLE)) * ({n_sql('G')} / CAST(n AS DOUBLE)) * (n - 1))")} AS "feat_or_CpG" FROM d""")
 def _(t):
     return ft.stage_dinucleotides(t.read_catalog).withColumns(ft.dinucleotides(S)).drop("sequence", "_di")
 
