@@ -277,12 +277,12 @@ def _(t):
 
 
 @query("j13_parse_names", needs=("fx_samples",), r="frac", sql="""
-SELECT sample_id, CASE i % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.005 ELSE 0.001 END::DOUBLE AS frac, CASE WHEN i % 2 = 0 THEN i % 8 + 1 END AS k FROM fx_samples""")
+SELECT sample_id, CASE i % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.005 ELSE 0.001 END::DOUBLE AS frac, CASE WHEN i % 2 = 0 THEN i % 8 + 1 ELSE 0 END AS k FROM fx_samples""")
 def _(t):
     i = F.col("i")
     d = t.samples.select("sample_id", F.when(i % 3 == 0, "top1p").when(i % 3 == 1, "top0p5p").otherwise("top0p1p").alias("tag"),
                          F.when(i % 2 == 0, F.concat(F.lit("kmer_only_k"), i % 8 + 1)).otherwise("no_kmer").alias("variant"))
-    return d.select("sample_id", tb.parse_tag().alias("frac"), tb.parse_k().alias("k"))
+    return d.select("sample_id", tb.parse_tag().alias("frac"), F.coalesce(tb.parse_k(), F.lit(0)).alias("k"))
 
 
 @query("j14_group_overview", needs=PRED, sql=f"WITH {MT} SELECT tag, species, locus, count(DISTINCT model || variant) AS n_models FROM mt GROUP BY ALL")
