@@ -142,6 +142,26 @@ def mismatch_profile(s: pd.Series, primer: pd.Series) -> pd.Series:
     return pd.Series([one(x, p) for x, p in zip(s, primer)])
 
 
+@F.pandas_udf(StructType([StructField("mm", IntegerType()), StructField("pos", IntegerType())]))
+def _best_site(s: pd.Series, primer: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, p in zip(s, primer):
+        if p is None or len(x) < len(p) or not p:
+            rows.append((None, None))
+            continue
+        b = BITS[np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) & 127]
+        b[(b & (b - 1)) != 0] = 0
+        w = np.lib.stride_tricks.sliding_window_view(b, len(p))
+        m = ((w & BITS[np.frombuffer(p.encode(), dtype=np.uint8)]) == 0).sum(axis=1)
+        i = int(m.argmin())
+        rows.append((int(m[i]), i))
+    return pd.DataFrame(rows, columns=["mm", "pos"]).astype("Int32")
+
+
+# Fewest mismatches and their leftmost 0-based start. Not inlined into later filters, so it runs once per row.
+best_site = _best_site.asNondeterministic()
+
+
 def zones(motifs, windows, thresholds):
     """array of (motif, window, threshold, start, end) for merged windows rich in the letters of a motif."""
     fields = [StructField(x, IntegerType()) for x in ("motif", "window", "threshold", "start", "end")]

@@ -50,8 +50,7 @@ def trim_filter_reads(reads: DataFrame, samples: DataFrame, error: float = 0.2,
         d = d.withColumns({x: F.substring(x, F.col("_w.start") + 1, F.greatest(F.col("_w.stop") - F.col("_w.start"), F.lit(0))) for x in ("seq", "qual")}).drop("_w")
 
     def site(d, primer, name):
-        best = lambda prof: F.array_min(F.transform(prof, lambda m, i: F.struct(m.alias("mm"), i.alias("pos"))))
-        d = d.withColumn("_p", arrow.mismatch_profile("seq", primer)).withColumn(name, best(F.col("_p"))).drop("_p")
+        d = d.withColumn(name, arrow.best_site("seq", primer))
         return d.withColumn(name, F.when(F.col(name)["mm"] <= F.floor(F.length(primer) * error), F.col(name)["pos"]))
 
     d = site(d, "_f", "_5").withColumn("_cut", F.when(F.col("_5").isNotNull(), F.col("_5") + F.length("_f")).otherwise(0))

@@ -36,13 +36,13 @@ def files(t):
 
 FILES = """f AS (SELECT path, depth, max(size) AS size, regexp_extract(path, '([^/]+)$', 1) AS name FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN '/d/raw/' || source || e ELSE '/d/raw/x' || doc_id || '/' || source || '_' || doc_id || e END AS path,
   CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS depth, n_chars AS size FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN '_R1.fastq.gz' WHEN 1 THEN '.fq' ELSE '.txt' END AS e FROM documents) d) x GROUP BY 1, 2),
-c AS (SELECT s.file_id, f.*, CASE WHEN depth = 1 AND name IN (file_id || '.fq') THEN 10000 ELSE 8000 + CASE WHEN name = file_id || '_R1.fastq.gz' THEN 7500 ELSE 0 END - depth * 10 + least(size, 10000000) // 1000000 END AS score
+c AS (SELECT s.file_id, f.*, CASE WHEN depth = 1 AND name IN (file_id || '.fq') THEN 10000 ELSE 8000 + CASE WHEN name IN (file_id || '_R1.fastq.gz', file_id || '_1.fq', file_id || '_1_R1.fastq.gz') AND name <> file_id || '_1_R1.fastq.gz' THEN 7500 ELSE 0 END - depth * 10 + least(size, 10000000) // 1000000 END AS score
   FROM fx_samples s JOIN f ON starts_with(f.name, s.file_id) AND name NOT LIKE '%.txt'),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, path) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM c)"""
 
 
 @query("a03_build_manifest", needs=("fx_samples",), sql=f"""
-WITH {FILES} SELECT s.file_id, coalesce(r.n, 0) AS n_matches, r.path AS fastq_path, CASE WHEN r.name = s.file_id || '.fq' THEN 'exact_file_id' WHEN r.name = s.file_id || '_R1.fastq.gz' THEN 'exact_file_id_tag' WHEN r.name IS NOT NULL THEN 'glob_startswith_file_id' END AS match_rule,
+WITH {FILES} SELECT s.file_id, coalesce(r.n, 0) AS n_matches, r.path AS fastq_path, CASE WHEN r.name = s.file_id || '.fq' THEN 'exact_file_id' WHEN r.name IN (s.file_id || '_R1.fastq.gz', s.file_id || '_1.fq') THEN 'exact_file_id_tag' WHEN r.name IS NOT NULL THEN 'glob_startswith_file_id' END AS match_rule,
   CASE WHEN r.n IS NULL THEN 'MISSING' WHEN r.n > 1 THEN 'AMBIGUOUS' ELSE 'OK' END AS status, (SELECT string_agg(path, ';' ORDER BY rn) FROM r q WHERE q.file_id = s.file_id AND q.rn <= 20) AS all_matches
 FROM fx_samples s LEFT JOIN r ON r.file_id = s.file_id AND r.rn = 1""")
 def _(t):
