@@ -385,12 +385,12 @@ PK = """pk AS (SELECT *, CAST(nullif(regexp_extract(feature, '^k([1-8])_', 1), '
 
 
 @query("j19_importance_by_region", needs=CAT, digits=4, r="sum_abs_shap sum_shap", sql=f"""
-WITH {IMP}, {PK} SELECT tag, model, CASE WHEN k IS NULL THEN 'non_kmer' ELSE 'kmer' END AS type, k, region, count(*) AS n_features, sum(mean_abs_shap) AS sum_abs_shap, sum(mean_shap) AS sum_shap FROM pk GROUP BY ALL""")
+WITH {IMP}, {PK} SELECT tag, model, CASE WHEN k IS NULL THEN 'non_kmer' ELSE 'kmer' END AS type, coalesce(k, 0) AS k, region, count(*) AS n_features, sum(mean_abs_shap) AS sum_abs_shap, sum(mean_shap) AS sum_shap FROM pk GROUP BY ALL""")
 def _(t):
-    return tb.importance_by_region(importances(t), IK)
+    return tb.importance_by_region(importances(t), IK).fillna(0, ["k"])
 
 
-ATTR = f"""at AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, round({U.format("seq_id || '|' || CAST(i - 1 AS VARCHAR)")} - 0.5, 4) AS attr FROM (SELECT seq_id, unnest(range(1, length(sequence) + 1)) AS i FROM fx_catalog) x)"""
+ATTR = f"""atx AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, round({U.format("seq_id || '|' || CAST(i - 1 AS VARCHAR)")} - 0.5, 4) AS attr FROM (SELECT seq_id, unnest(range(1, length(sequence) + 1)) AS i FROM fx_catalog) x)"""
 
 
 def attributions(t):
@@ -399,7 +399,7 @@ def attributions(t):
 
 
 @query("j20_attribution_rollup", needs=CAT, r="sum_attr sum_abs_attr mean_attr mean_abs_attr token_frac", digits=5, sql=f"""
-WITH {ATTR}, d AS (SELECT attr, pos, length(sequence) AS n, substr(sequence, pos + 1, 1) AS base FROM at JOIN fx_catalog USING (seq_id)),
+WITH {ATTR}, d AS (SELECT attr, pos, length(sequence) AS n, substr(sequence, pos + 1, 1) AS base FROM atx JOIN fx_catalog USING (seq_id)),
 e AS (SELECT 'region' AS dim, CASE WHEN pos < 30 THEN 'head' WHEN pos >= n - 30 THEN 'tail' ELSE 'mid' || CAST(least(floor((pos - 30) * 3 / CAST(n - 60 AS DOUBLE)), 2) + 1 AS INTEGER) END AS value, attr FROM d
   UNION ALL SELECT 'base', base, attr FROM d UNION ALL SELECT 'position', CAST(pos AS VARCHAR), attr FROM d UNION ALL SELECT 'from_end', CAST(n - 1 - pos AS VARCHAR), attr FROM d)
 SELECT dim, value, count(*) AS n_tokens, sum(attr) AS sum_attr, sum(abs(attr)) AS sum_abs_attr, avg(attr) AS mean_attr, avg(abs(attr)) AS mean_abs_attr,
@@ -409,7 +409,7 @@ def _(t):
 
 
 @query("j20_local_top_positions", needs=CAT, sql=f"""
-WITH {ATTR} SELECT seq_id, pos, attr + 0.0 AS attr, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY abs(attr) DESC, pos) AS INTEGER) AS rank FROM at QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY abs(attr) DESC, pos) <= 5""")
+WITH {ATTR} SELECT seq_id, pos, attr + 0.0 AS attr, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY abs(attr) DESC, pos) AS INTEGER) AS rank FROM atx QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY abs(attr) DESC, pos) <= 5""")
 def _(t):
     return tb.local_top_positions(attributions(t))
 
@@ -498,7 +498,7 @@ def _(t):
 CAL_R = "y_true_mean y_pred_mean resid_mean resid_rmse resid_mae y_true_med y_pred_med resid_med"
 
 
-@query("j25_calibration", needs=PRED, r=CAL_R, sql="""
+@query("j25_calibration", needs=PRED, digits=5, r=CAL_R, sql="""
 WITH e AS (SELECT locus, model, variant, list_sort(list_distinct(quantile_cont(y_true, [{qs}]))) AS e FROM fx_predictions GROUP BY 1, 2, 3),
 b AS (SELECT p.*, y_pred - y_true AS resid, CAST(len([v for v in e[2:len(e) - 1] if v < y_true]) AS INTEGER) AS bin FROM fx_predictions p JOIN e USING (locus, model, variant))
 SELECT locus, model, variant, bin, count(*) AS n, avg(y_true) AS y_true_mean, avg(y_pred) AS y_pred_mean, avg(resid) AS resid_mean, sqrt(avg(resid * resid)) AS resid_rmse, avg(abs(resid)) AS resid_mae,
