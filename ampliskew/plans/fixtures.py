@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import abundance as ab
 from ..operators import bias
+from ..operators.features import spread
 
 # Fixed values of the derived tables: letter -> base code, label spellings, primers.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -232,7 +233,7 @@ class Tables:
 
     @cached_property
     def read_catalog(self) -> DataFrame:
-        return self.reads.select(F.col("seq").alias("sequence")).distinct().select(F.md5("sequence").alias("seq_id"), "sequence")
+        return spread(self.reads.select(F.col("seq").alias("sequence")).distinct().select(F.md5("sequence").alias("seq_id"), "sequence"))
 
     @cached_property
     def catalog(self) -> DataFrame:
