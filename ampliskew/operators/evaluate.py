@@ -14,6 +14,8 @@ from .dataset import stable_u01
 def regression_metrics(pred: DataFrame, keys: list[str], mult: str | None = None, zero_is_positive: bool = True) -> DataFrame:
     """R2, RMSE, MAE, Spearman (average ranks), Pearson and sign accuracy; ``mult`` counts repeated rows."""
     d = pred.select(*keys, F.col("y_true").alias("y"), F.col("y_pred").alias("p"), (F.col(mult) if mult else F.lit(1)).cast("double").alias("m")).dropna(subset=["y", "p"])
+    if mult is None:
+        d = cut_lineage(d)   # read three times below; resamples arrive cut already
     r = d
     for v in ("y", "p"):
         h = cumulate(d.groupBy(*keys, v).agg(F.sum("m").alias("_n")), keys, [v])
