@@ -78,7 +78,7 @@ def region_kmers_strict(clipped: DataFrame, vocab: DataFrame | None = None, ks=(
 
     The vocabulary is capped per k (G04), so broadcasting it is bounded.
     """
-    n = F.length(seq)
+    clipped, n = clipped.withColumn("_len", F.length(seq)), F.col("_len")   # a column, so it is not measured once per word
     long = _count_words(clipped, [({"k": k}, _placed(seq, k, n, head, tail, bins)) for k in ks])
     long = long.select("seq_id", "k", F.split_part("kmer", F.lit("_"), F.lit(1)).alias("region"),
                        F.split_part("kmer", F.lit("_"), F.lit(2)).alias("kmer"), F.col("n").cast("double").alias("x"))
