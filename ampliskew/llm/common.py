@@ -37,6 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(df: DataFrame, name: str, stored: bool) -> DataFrame:
+    """Adds a key of every row that stays the same whenever and however the table is read.
+
+    ``stored``: ``df`` is read from files as they are; others are written to the shared folder first.
+    """
+    df = df if stored else written(df, "rows")
+    place = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.concat_ws(":", place["file_name"], place["row_index"].cast("string")))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

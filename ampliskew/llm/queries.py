@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .contamination import OP4_SQL, contamination
+from .lines import OP8_SQL, drop_lines
 from .pieces import piece_digests, piece_tokens
+from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_files import read_token_files, token_digests, token_files
 
@@ -29,6 +32,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +52,11 @@ def op7_pieces(spark, sf_dir):
     return piece_digests(piece_tokens(table(spark, sf_dir, "documents"), PIECES))
 
 
+@query("op8_line_dedup", OP8_SQL)
+def op8_line_dedup(spark, sf_dir):
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query("op10_token_files")
 def op10_token_files(spark, sf_dir):
     folder = token_files(table(spark, sf_dir, "documents"), BYTES)

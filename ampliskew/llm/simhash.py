@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, build, col, fresh, slices, written
+from .common import LOWER, UPPER, build, col, fresh, row_keyed, slices, written
 from .components import components
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -166,3 +166,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_print = named.join(least, "component").select(F.col("fingerprint").alias("_print"), "component_id")
     out = fps.join(by_print, fps["fingerprint"] == by_print["_print"])
     return out.select(col(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, stored: bool = False, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id, of equal ids the first stored.
+
+    Columns stay as they are; ``stored``: see ``row_keyed``. Rows with a null id come before others.
+    """
+    row, key, dropped = fresh(docs, "row", "key", "dropped_row")
+    rows = row_keyed(docs, row, stored)
+    keyed = rows.select(F.struct(col(id_col).alias("id"), col(row).alias("row")).alias(key), col(text_col))
+    again = near_duplicates(keyed, key, text_col, width, radius).where(col(key) != F.col("component_id")).select(col(key)["row"].alias(dropped))
+    return rows.join(again, col(row) == col(dropped), "left_anti").select(*map(col, docs.columns))
