@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .contamination import OP4_SQL, contamination
+from .html_text import extract_text
 from .lines import OP8_SQL, drop_lines
 from .pieces import piece_digests, piece_tokens
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_files import read_token_files, token_digests, token_files
+from .urls import OP2_SQL, RULES, SPAM, host_of, judge_urls
+from .warc import OP9_SQL, read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +36,18 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_html_text")
+def op1_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark, sf_dir):
+    """Listed are the URLs of sites with spam words in their host."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, pages.where(host_of(F.col("url")).rlike(SPAM)), RULES)
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -57,6 +73,12 @@ def op8_line_dedup(spark, sf_dir):
     return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query("op9_warc", OP9_SQL)
+def op9_warc(spark, sf_dir):
+    folder = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, folder).withColumnRenamed("id", "page_id")
+
+
 @query("op10_token_files")
 def op10_token_files(spark, sf_dir):
     folder = token_files(table(spark, sf_dir, "documents"), BYTES)
