@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .contamination import OP4_SQL, contamination
 from .html_text import extract_text
+from .licenses import DOC_PATH, OP5_SQL, scan_licenses
 from .lines import OP8_SQL, drop_lines
 from .pieces import piece_digests, piece_tokens
 from .quality import quality_rules
@@ -58,6 +59,12 @@ def op4_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+@query("op5_license_scan", OP5_SQL)
+def op5_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(DOC_PATH).alias("path"))
+    return scan_licenses(docs, id_col="doc_id")
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

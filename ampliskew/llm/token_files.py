@@ -59,9 +59,11 @@ class ByteEncoder:
     def _keys(text: str) -> list[str] | None:
         if not text:
             return []
-        if "<|" in text or " ".join(text.split()) != text.replace("\n", " "):
-            return None
         first, *lines = text.split("\n")
+        for line in (first, *lines):
+            # printable excludes all white space but the blank
+            if not line or not line.isprintable() or "  " in line or line[0] == " " or line[-1] == " " or "<|" in line:
+                return None
         head, *keys = first.split(" ")
         keys.insert(0, FIRST + head)
         for line in lines:
@@ -82,23 +84,34 @@ def encoder(path: str) -> ByteEncoder:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, partitions: int) -> DataFrame:
     """part, local (ids before it in its part), key, n, ids (binary) in ascending order of ``id_col`` by part and local.
 
-    Nulls come first; rows with the same id stand in the order of their texts' hashes.
+    Nulls come first; rows with the same id stand in the order of their texts' hashes. The last row of each part has no
+    ``local`` but ``counts`` (binary): how often each token id occurs in the part, as 64-bit integers.
     """
     src = docs.select(col(id_col).cast("long").alias("key"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     src = src.repartitionByRange(partitions, "key").sortWithinPartitions("key", F.xxhash64("text"), F.length("text"))
-    schema = pa.schema([("local", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("local", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        enc, before = encoder(tokenizer), 0
+        enc, before, seen = encoder(tokenizer), 0, np.zeros(0, "i8")
         for whole in batches:
             for batch in slices(whole, 1):
                 flat, ends = enc.encode(batch.column(1).to_pylist(), end_id)
                 n = np.diff(ends, prepend=0)
                 ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("i4")), pa.py_buffer(flat.astype("<i4"))])
-                yield build(schema, before + ends - n, batch.column(0), n, ids)
+                yield build(schema, before + ends - n, batch.column(0), n, ids, pa.nulls(len(n), pa.binary()))
                 before += len(flat)
+                seen = added(seen, np.bincount(flat))
+        yield build(schema, [None], [None], [0], [None], [seen.tobytes()])
 
-    return src.mapInArrow(run, "local long, key long, n long, ids binary").withColumn("part", F.spark_partition_id())
+    return src.mapInArrow(run, "local long, key long, n long, ids binary, counts binary").withColumn("part", F.spark_partition_id())
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two counts of different length."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    out = long.astype("i8")
+    out[:len(short)] += short
+    return out
 
 
 def packed(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -159,14 +172,12 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
     def count(batches):
         seen = np.zeros(0, "i8")
         for b in batches:
-            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
-            got = np.bincount(ids, minlength=len(seen))
-            got[:len(seen)] += seen
-            seen = got
+            for x in b.column(0):
+                seen = added(seen, np.frombuffer(x.as_py(), "i8"))
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(seen[used], pa.int64())], ["id", "n"])
 
-    counts = table.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = table.where("local is null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.asarray([r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()], "<u4")
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
@@ -210,7 +221,7 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
         if sink:
             yield close()
 
-    made = table.select("part", "local", "key", "n", "ids").mapInArrow(write, "file string, docs long, ids long").agg(F.sum("ids")).first()[0] or 0
+    made = table.where("local is not null").select("part", "local", "key", "n", "ids").mapInArrow(write, "file string, docs long, ids long").agg(F.sum("ids")).first()[0] or 0
     if made != before:
         raise RuntimeError(f"{made} ids were written of {before}")
     return folder
