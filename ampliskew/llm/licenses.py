@@ -39,28 +39,27 @@ def weights(templates: dict[str, str]) -> tuple[dict[str, float], list[tuple[str
     return idf, out, math.log(1 + n) + 1
 
 
-def best_match(text: Column, templates: dict[str, str]) -> Column:
-    """struct(score, license) of the best line and template; null where no line has a template's alphabetic term."""
+def best_matches(files: DataFrame, keys: list[str], text: Column, templates: dict[str, str]) -> DataFrame:
+    """keys (unique in ``files``), match struct(score, license): best line and template, null where no line has a template's alphabetic term."""
     idf, unit, other = weights(templates)
     signs = "|".join(sorted(re.escape(t) for t in idf if t.isalpha()))
     table = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs for x in pair))
     all_idf, zero = table(idf.items()), F.lit(0.0)
+    # files, then lines, without any such term are passed over early
+    lines = F.when(text.rlike(signs), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(signs)))
+    df = files.select(*keys, F.explode_outer(lines).alias("_line"))
+    df = df.select(*keys, F.filter(F.regexp_extract_all("_line", F.lit(TERM), F.lit(0)), lambda t: ~t.isin(STOP)).alias("_terms"))
+    tf = lambda t: F.size(F.array_remove(F.transform("_terms", lambda u: u == t), F.lit(False)))
+    df = df.select(*keys, F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("t"), (tf(t) * F.coalesce(F.try_element_at(all_idf, t), F.lit(other))).alias("x"))).alias("_weighed"))
+    df = df.select(*keys, "_weighed", F.sqrt(F.aggregate("_weighed", zero, lambda acc, v: acc + v["x"] * v["x"])).alias("_length"))
 
-    def of_line(line: Column) -> Column:
-        terms = F.filter(F.regexp_extract_all(line, F.lit(TERM), F.lit(0)), lambda t: ~t.isin(STOP))
-        weighed = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), (F.size(F.filter(terms, lambda u: u == t)) * F.coalesce(F.try_element_at(all_idf, t), F.lit(other))).alias("x")))
-        length = F.sqrt(F.aggregate(weighed, zero, lambda acc, v: acc + v["x"] * v["x"]))
-
-        def score(name: str) -> Column:
-            own = table((t, w) for k, t, w in unit if k == name)
-            dot = F.aggregate(weighed, zero, lambda acc, v: acc + v["x"] * F.coalesce(F.try_element_at(own, v["t"]), zero))
-            return F.struct(F.round(dot / F.when(length > 0, length), 6).alias("score"), F.lit(name).alias("license"))
-
-        return F.array_max(F.array(*map(score, templates)))
+    def score(name: str) -> Column:
+        own = table((t, w) for k, t, w in unit if k == name)
+        dot = F.aggregate("_weighed", zero, lambda acc, v: acc + v["x"] * F.coalesce(F.try_element_at(own, v["t"]), zero))
+        return F.struct(F.round(dot / F.when(F.col("_length") > 0, F.col("_length")), 6).alias("score"), F.lit(name).alias("license"))
 
-    # files, then lines, without any alphabetic term of a template are passed over early
-    lines = F.when(text.rlike(signs), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(signs)))
-    return F.array_max(F.transform(lines, of_line))
+    best = F.when(F.col("_length").isNotNull(), F.array_max(F.array(*map(score, templates))))
+    return df.groupBy(*keys).agg(F.max(best).alias("match"))
 
 
 def ancestors(folder: Column) -> Column:
@@ -74,12 +73,13 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least
 
     A file's licence is the template with the highest cosine to any of its lines (ties: the last name), if that reaches
     ``least``; else that of the nearest ancestor directory whose licence files name one (best score there, ties alike).
-    Whole texts are scanned, row by row without a shuffle. Null and empty texts match nothing, a null path inherits
+    Whole texts are scanned; only lines with a template's term are taken out of their row. Null and empty texts match nothing, a null path inherits
     nothing; equal rows and ids each give a row, other columns are ignored, an empty table gives an empty one.
     ``templates`` are the caller's few. Each directory is resolved once, however many files it holds.
     """
-    best = best_match(ascii_lower(F.coalesce(col(text_col).cast("string"), F.lit(""))), templates)
-    rows = written(files.select(col(id_col).alias(id_col), col(path_col).cast("string").alias("path"), best.alias("_b")), "licences")
+    rows = files.select(F.monotonically_increasing_id().alias("_n"), col(id_col).alias("_id"), col(path_col).cast("string").alias("path"), col(text_col).cast("string").alias("_text"))
+    rows = best_matches(rows, ["_n", "_id", "path"], ascii_lower(F.coalesce("_text", F.lit(""))), templates)
+    rows = written(rows.select(F.col("_id").alias(id_col), "path", F.col("match").alias("_b")), "licences")
     good = F.col("_b.score") >= least
     rows = rows.select(id_col, "path", F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1).alias("_dir"), F.when(good, F.col("_b.license")).alias("license"), F.when(good, F.col("_b.score")).alias("score"))
     own, bare = rows.where("license is not null"), rows.where("license is null")
