@@ -1,4 +1,4 @@
-"""The few per-sequence values without a column expression, as Arrow-batched functions."""
+"""The few per-sequence values without a column expression, as Arrow-batched functions; NULL gives NULL."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ def lz76(s: pd.Series) -> pd.Series:
     """
 
     def one(x):
+        if x is None:
+            return None
         n = len(x)
         if n < 2:
             return 2 * n
@@ -33,7 +35,7 @@ def lz76(s: pd.Series) -> pd.Series:
                 parts, start = parts + 1, end
         return parts + (start < n)
 
-    return s.map(one)
+    return s.map(one).astype("Int64")
 
 
 @F.pandas_udf(DoubleType())
@@ -41,6 +43,8 @@ def dust(s: pd.Series) -> pd.Series:
     """densest 64-letter window by equal trimer pairs, per window letter; counts roll along the sequence."""
 
     def one(x):
+        if x is None:
+            return None
         n, win = len(x), min(64, len(x))
         if n < 3:
             return 0.0
@@ -68,6 +72,8 @@ def palindromes(s: pd.Series) -> pd.DataFrame:
     comp = str.maketrans("ACGT", "TGCA")
 
     def one(x):
+        if x is None:
+            return [None] * 4
         n, y = len(x), x.translate(comp)
         radius = np.zeros(n + 1, dtype=np.int64)   # radius[c]: half length around the gap before letter c
         centre = right = 0
@@ -80,7 +86,7 @@ def palindromes(s: pd.Series) -> pd.DataFrame:
                 centre, right = i, i + r
         return [int(np.maximum(radius - k, 0).sum()) for k in (2, 3, 4)] + [int(2 * radius.max())]
 
-    return pd.DataFrame([one(x) for x in s], columns=["n6", "n8", "n10", "max_len"])
+    return pd.DataFrame([one(x) for x in s], columns=["n6", "n8", "n10", "max_len"]).astype("Int64")
 
 
 def tm_window_max(w: int, nn: dict, ends: tuple, salt: float, strand: float):
@@ -96,6 +102,8 @@ def tm_window_max(w: int, nn: dict, ends: tuple, salt: float, strand: float):
     @F.pandas_udf(DoubleType())
     def tm(s: pd.Series) -> pd.Series:
         def one(x):
+            if x is None:
+                return None
             b = np.array([code.get(ch, -1) for ch in x])
             n = len(b)
             if n == 0:
@@ -132,6 +140,8 @@ def mismatch_profile(s: pd.Series, primer: pd.Series) -> pd.Series:
     """
 
     def one(x, p):
+        if x is None:
+            return None
         if p is None or len(x) < len(p) or not p:
             return np.zeros(0, dtype=np.int32)
         b = BITS[np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) & 127]
@@ -146,7 +156,7 @@ def mismatch_profile(s: pd.Series, primer: pd.Series) -> pd.Series:
 def _best_site(s: pd.Series, primer: pd.Series) -> pd.DataFrame:
     rows = []
     for x, p in zip(s, primer):
-        if p is None or len(x) < len(p) or not p:
+        if x is None or p is None or len(x) < len(p) or not p:
             rows.append((None, None))
             continue
         b = BITS[np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) & 127]
@@ -170,6 +180,8 @@ def zones(motifs, windows, thresholds):
     @F.pandas_udf(ArrayType(StructType(fields)))
     def scan(s: pd.Series) -> pd.Series:
         def one(x):
+            if x is None:
+                return None
             b = np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8)
             out = []
             for m, letters in enumerate(sets):

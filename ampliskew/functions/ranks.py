@@ -16,28 +16,41 @@ from .cols import c
 PREC = Window.unboundedPreceding
 
 
-def value_cell(x) -> Column:
-    """Monotone integer cell of a number: 64 cells per octave above 2^-20, either sign."""
+def value_cells(x) -> tuple[Column, Column]:
+    """Two monotone integers that cut the numbers: 64 cells per octave on every scale and sign, and 65536 parts of each.
+
+    Cells follow the logarithm, so values of any size spread alike; values within a millionth of each other, such as
+    times of day, still spread over the parts.
+    """
     v = c(x).cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 1048576.0 + 1.0) * 64)).cast("long")
+    octave = F.log2(F.abs(v)) * 64
+    cell = F.floor(octave)
+    sign = F.when(v > 0, 1).when(v < 0, -1).otherwise(0)
+    whole = F.when(sign == 0, 0).otherwise(sign * (cell + 70000))
+    part = F.when(sign == 0, 0).otherwise(sign * F.floor((octave - cell) * 65536))
+    inf = F.lit(float("inf"))
+    return F.when(F.abs(v) == inf, sign * 200000).otherwise(whole).cast("long"), F.when(F.abs(v) == inf, 0).otherwise(part).cast("long")
 
 
 def cumulate(hist: DataFrame, keys, order, n: str = "_n", descending: bool = False) -> DataFrame:
     """Adds ``_below``: rows of the group that sort before this histogram line.
 
-    ``order[0]`` is the numeric value that the cells follow; further columns break ties.
+    ``order[0]`` is the numeric value that the cells follow; further columns break ties. Lines are sorted inside one
+    part of a cell; parts are summed up inside their cell and cells inside their group, on tables of counts.
     """
-    cell = value_cell(order[0])
-    hist = hist.withColumn("_cell", -cell if descending else cell)
+    cell, part = ((-x if descending else x) for x in value_cells(order[0]))
+    hist = hist.withColumns({"_cell": cell, "_part": part})
     first = c(order[0]).desc() if descending else c(order[0]).asc()
-    inside = Window.partitionBy(*keys, "_cell").orderBy(first, *order[1:]).rowsBetween(PREC, -1)
-    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(PREC, -1)
-    cells = (hist.groupBy(*keys, "_cell").agg(F.sum(n).alias("_cn"))
-             .withColumn("_off", F.coalesce(F.sum("_cn").over(across), F.lit(0))).drop("_cn"))
+    before = lambda x, *by: F.coalesce(F.sum(x).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(PREC, -1)), F.lit(0))
+    inside = Window.partitionBy(*keys, "_cell", "_part").orderBy(first, *order[1:]).rowsBetween(PREC, -1)
+    parts = hist.groupBy(*keys, "_cell", "_part").agg(F.sum(n).alias("_cn"))
+    cells = parts.groupBy(*keys, "_cell").agg(F.sum("_cn").alias("_tn")).withColumn("_off", before("_tn", *keys, "_cell")).drop("_tn")
+    parts = (parts.withColumn("_in_cell", before("_cn", *keys, "_cell", "_part")).join(cells, [*keys, "_cell"])
+             .select(*keys, "_cell", "_part", (F.col("_off") + F.col("_in_cell")).alias("_off")))
     return (hist.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-            .join(cells, [*keys, "_cell"])
+            .join(parts, [*keys, "_cell", "_part"])
             .withColumn("_below", F.col("_off") + F.col("_in"))
-            .drop("_off", "_in", "_cell"))
+            .drop("_off", "_in", "_cell", "_part"))
 
 
 def value_histogram(df: DataFrame, keys, value: str) -> DataFrame:
@@ -66,11 +79,11 @@ def ordered_positions(df: DataFrame, keys, value, tie, out: str, descending: boo
     """1-based position of every row inside ``keys`` by ``value``, then by md5 of ``tie``, then by ``tie``.
 
     Same as row_number() with that order, without sorting a whole group in one task: ties on the value are
-    spread over 256 buckets by the leading hex digits of the hash, which keeps the order.
+    spread over 65536 buckets by the leading hex digits of the hash, which keeps the order.
     """
     keys = list(keys)
     df = (df.withColumn("_v", c(value).cast("double")).withColumn("_t", F.md5(c(tie).cast("string")))
-          .withColumn("_b", F.substring("_t", 1, 2)))
+          .withColumn("_b", F.substring("_t", 1, 4)))
     hist = df.groupBy(*keys, "_v", "_b").agg(F.count(F.lit(1)).alias("_n"))
     cum = cumulate(hist, keys, ["_v", "_b"], descending=descending).drop("_n")
     w = Window.partitionBy(*keys, "_v", "_b").orderBy("_t", c(tie))

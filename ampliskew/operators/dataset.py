@@ -115,11 +115,12 @@ def variant_columns(features: list[str], variant: str) -> list[str]:
     return [f for f in features if not (variant.endswith("noprimer") and f.startswith("feat_pr_"))]
 
 
-def kmer_vectors(kmers: DataFrame, vocab: list[str], out: str = "kmers") -> DataFrame:
-    """One sparse count vector per sequence over a capped vocabulary, built in the JVM. ``kmers``: seq_id, feature, x."""
+def with_kmer_vectors(df: DataFrame, kmers: DataFrame, vocab: list[str], out: str = "kmers") -> DataFrame:
+    """``df`` with one sparse count vector per row over a capped vocabulary, built in the JVM; empty for sequences without its words. ``kmers``: seq_id, feature, x."""
     tok = (kmers.where(F.col("feature").isin(vocab)).groupBy("seq_id")
            .agg(F.flatten(F.collect_list(F.array_repeat("feature", F.col("x").cast("int")))).alias("_tok")))
-    return CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out).transform(tok).drop("_tok")
+    d = df.join(tok, "seq_id", "left").withColumn("_tok", F.coalesce("_tok", F.array().cast("array<string>")))
+    return CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out).transform(d).drop("_tok")
 
 
 def assemble(df: DataFrame, features: list[str], variant: str, kmers: DataFrame | None = None, vocab: list[str] | None = None) -> DataFrame:
@@ -129,10 +130,7 @@ def assemble(df: DataFrame, features: list[str], variant: str, kmers: DataFrame
     parts = list(dense)
     if not variant.startswith("no_kmer"):
         words = vocab if not variant.startswith("kmer_only_k") else [v for v in vocab if v.startswith(f"k{variant[11:]}_")]
-        d = d.join(kmer_vectors(kmers, words), "seq_id", "inner" if variant.startswith("kmer_only") else "left")
-        if not variant.startswith("kmer_only"):
-            from pyspark.ml.functions import array_to_vector
-            d = d.withColumn("kmers", F.coalesce("kmers", array_to_vector(F.array_repeat(F.lit(0.0), len(words)))))
+        d = with_kmer_vectors(d, kmers, words)
         parts.append("kmers")
     return VectorAssembler(inputCols=parts, outputCol="features").transform(d)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import ratio
 from ..functions.ranks import cumulate, ordered_positions
-from ..session import cut_lineage
+from ..session import keep
 from .dataset import stable_u01
 
 
@@ -15,7 +15,7 @@ def regression_metrics(pred: DataFrame, keys: list[str], mult: str | None = None
     """R2, RMSE, MAE, Spearman (average ranks), Pearson and sign accuracy; ``mult`` counts repeated rows."""
     d = pred.select(*keys, F.col("y_true").alias("y"), F.col("y_pred").alias("p"), (F.col(mult) if mult else F.lit(1)).cast("double").alias("m")).dropna(subset=["y", "p"])
     if mult is None:
-        d = cut_lineage(d)   # read three times below; resamples arrive cut already
+        d = keep(d)   # read three times below; resamples arrive cut already
     r = d
     for v in ("y", "p"):
         h = cumulate(d.groupBy(*keys, v).agg(F.sum("m").alias("_n")), keys, [v])
@@ -74,14 +74,14 @@ def _summary(m: DataFrame, keys: list[str], B: int, cols=("r2", "rmse", "mae", "
 def bootstrap_rows(pred: DataFrame, keys: list[str], B: int = 5000, seed: int = 1, row: str = "row_id") -> DataFrame:
     """Rows drawn with replacement inside each group."""
     p = pred.select(*keys, row, "y_true", "y_pred").withColumn("_u", stable_u01(row))
-    p = cut_lineage(ordered_positions(p, keys, "_u", row, "_pos").drop("_u"))
-    s = cut_lineage(p.join(_resample(p, keys, B, seed), [*keys, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
+    p = keep(ordered_positions(p, keys, "_u", row, "_pos").drop("_u"))
+    s = keep(p.join(_resample(p, keys, B, seed), [*keys, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
     return _summary(regression_metrics(s, [*keys, "b"], "_m"), keys, B)
 
 
 def bootstrap_pairs(pred: DataFrame, keys: list[str], B: int = 1000, seed: int = 1, small: int = 200, tiny: int = 50, few_pairs: int = 5) -> DataFrame:
     """Whole pairs drawn with replacement; flags for small groups."""
-    pred = cut_lineage(pred.select(*keys, "pair_id", "y_true", "y_pred"))
+    pred = keep(pred.select(*keys, "pair_id", "y_true", "y_pred"))
     u = pred.select(*keys, "pair_id").distinct()
     u = ordered_positions(u.withColumn("_u", stable_u01("pair_id")), keys, "_u", "pair_id", "_pos").drop("_u")
     draws = u.join(_resample(u, keys, B, seed), [*keys, "_pos"]).select(*keys, "pair_id", "b", "_m")
@@ -94,7 +94,7 @@ def bootstrap_pairs(pred: DataFrame, keys: list[str], B: int = 1000, seed: int =
 def bootstrap_stratified(pred: DataFrame, keys: list[str], B: int = 1000, seed: int = 1, max_bins: int = 8, row: str = "row_id") -> DataFrame:
     """Rows drawn inside quantile bins of y; round(sqrt n) bins, 2..max, at most 3 below 20 rows."""
     from ..functions.ranks import value_histogram
-    pred = cut_lineage(pred.select(*keys, row, "y_true", "y_pred"))
+    pred = keep(pred.select(*keys, row, "y_true", "y_pred"))
     h = value_histogram(pred, keys, "y_true")
     n = h.groupBy(*keys).agg(F.sum("_n").alias("_t"))
     k = F.greatest(F.lit(2), F.least(F.lit(max_bins), F.rint(F.sqrt("_t")).cast("int")))
@@ -102,8 +102,8 @@ def bootstrap_stratified(pred: DataFrame, keys: list[str], B: int = 1000, seed:
     bins = h.join(n, keys).select(*keys, "y_true", F.least(F.floor(F.col("_below") * k / F.col("_t")), k - 1).cast("int").alias("_bin"))
     p = pred.join(bins, [*keys, "y_true"])
     g = [*keys, "_bin"]
-    p = cut_lineage(ordered_positions(p.withColumn("_u", stable_u01(row)), g, "_u", row, "_pos").drop("_u"))
-    s = cut_lineage(p.join(_resample(p, g, B, seed), [*g, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
+    p = keep(ordered_positions(p.withColumn("_u", stable_u01(row)), g, "_u", row, "_pos").drop("_u"))
+    s = keep(p.join(_resample(p, g, B, seed), [*g, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
     return _summary(regression_metrics(s, [*keys, "b"], "_m"), keys, B, ("rmse", "spearman"))
 
 
@@ -117,9 +117,9 @@ def permutation_null(pred: DataFrame, keys: list[str], B: int = 200, seed: int =
     """Spearman after shuffling y inside each pair (inside the group without pairs): position i of one hash order
     meets position i of another."""
     g = [*keys, *([within] if within else [])]
-    d = cut_lineage(pred.select(*g, row, "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
+    d = keep(pred.select(*g, row, "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
     order = lambda tag: stable_u01(F.concat_ws("|", F.lit(f"{seed}{tag}"), F.col("b"), F.col(row)))
     gb = [*g, "b"]
     a = ordered_positions(d.withColumn("_u", order("y")), gb, "_u", row, "_pos").select(*gb, "_pos", "y_true")
     p = ordered_positions(d.withColumn("_u", order("p")), gb, "_u", row, "_pos").select(*gb, "_pos", "y_pred")
-    return regression_metrics(cut_lineage(a.join(p, [*gb, "_pos"]).select(*keys, "b", "y_true", "y_pred")), [*keys, "b"]).select(*keys, F.col("b").alias("perm_id"), F.col("spearman").alias("perm_spearman"))
+    return regression_metrics(keep(a.join(p, [*gb, "_pos"]).select(*keys, "b", "y_true", "y_pred")), [*keys, "b"]).select(*keys, F.col("b").alias("perm_id"), F.col("spearman").alias("perm_spearman"))

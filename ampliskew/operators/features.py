@@ -50,7 +50,7 @@ def sequence_context(catalog: DataFrame, ab: DataFrame) -> DataFrame:
     seen = ab.select("seq_id", "marker", "sample_type", "species_label").distinct()
     join = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
     seen = seen.groupBy("seq_id").agg(join("marker").alias("markers"), join("sample_type").alias("sample_types_seen"),
-                                      F.substring(join("species_label"), 1, 1000).alias("species_labels_seen"))
+                                      join("species_label").alias("species_labels_seen"))
     ok, _ = regions_strict(catalog)
     return (ok.join(seen, "seq_id", "left").withColumn("markers", text_or("markers", "UNKNOWN"))
             .withColumn("length", F.length("sequence")).withColumns({f"{r}_len": F.length(r) for r in REGIONS}))

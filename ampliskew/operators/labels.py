@@ -123,7 +123,7 @@ def basic_label(x) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_+|_+$", "")
     s = F.regexp_replace(F.regexp_replace(s, "\\(.*?\\)", ""), "^[_ ]+|[_ ]+$", "")
     s = F.regexp_replace(s, "_+", "_")
-    cased = F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 10000)))
+    cased = F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
     t = F.trim(c(x))
     return F.when(F.lower(t).isin("", "nan", "none"), t).otherwise(cased)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import c, finite, number, ratio
 from ..functions.ranks import average_ranks, cumulate, exact_quantiles, histogram_quantiles, top_per_group
 from ..functions.special import corr_p, normal_two_sided
-from ..session import cut_lineage
+from ..session import keep
 
 PAIR_META = ["pair_id", "species", "n_individuals", "locus", "yes_file_id", "no_file_id"]
 
@@ -227,7 +227,7 @@ def tail_vs_dom() -> Column:
 def rank_corr(long: DataFrame, keys: list[str], x: str = "x", y: str = "y", min_n: int = 3) -> DataFrame:
     """keys, n, Spearman (average ranks) and Pearson over rows with both values; NULL when a side is constant."""
     d = long.select(*keys, finite(x).alias("x"), finite(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    r = average_ranks(cut_lineage(d), keys, {"x": "rx", "y": "ry"})
+    r = average_ranks(keep(d), keys, {"x": "rx", "y": "ry"})
     varies = lambda v: F.min(v) < F.max(v)
     return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(varies("x") & varies("y"), F.corr("rx", "ry")).alias("spearman"),
                                 F.when(varies("x") & varies("y"), F.corr("x", "y")).alias("pearson")).where(F.col("n") >= min_n)
@@ -332,7 +332,7 @@ def mw_shift(wide: DataFrame, keys: list[str], features: list[str], y: str = "y"
     d = wide.join(q, keys).select(*keys, *[finite(f).alias(f) for f in features], F.explode(sides).alias("_c")).select(*keys, *features, "_c.*")
     d = d.unpivot([*keys, "contrast", "side"], features, "feature", "x").where(F.col("x").isNotNull())
     g = [*keys, "contrast", "feature"]
-    n_side = cut_lineage(d.groupBy(*g, "side", "x").agg(F.count(F.lit(1)).alias("_n")))   # ties collapse map-side; all below works on counts
+    n_side = keep(d.groupBy(*g, "side", "x").agg(F.count(F.lit(1)).alias("_n")))   # ties collapse map-side; all below works on counts
     pool = n_side.groupBy(*g, "x").agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("side") == "A", F.col("_n")).otherwise(0)).alias("_na"))
     h = cumulate(pool, g, ["x"])
     t = F.col("_n").cast("double")
@@ -391,7 +391,7 @@ def quantile_bins(df: DataFrame, keys: list[str], y: str, bins: int) -> DataFram
 
 def feature_trend(wide: DataFrame, keys: list[str], features: list[str], y: str = "y", bins: int = 10, min_bin: int = 20) -> DataFrame:
     """Y and x per quantile bin of y."""
-    b = cut_lineage(quantile_bins(cut_lineage(wide.select(*keys, y, *features)), keys, y, bins))
+    b = keep(quantile_bins(keep(wide.select(*keys, y, *features)), keys, y, bins))
     g = [*keys, "bin"]
     ys = b.groupBy(*g).agg(F.count(F.lit(1)).alias("bin_n"), F.first("y_lo").alias("y_lo"), F.first("y_hi").alias("y_hi"), F.avg(y).alias("y_mean"))
     ys = ys.join(exact_quantiles(b, g, y, {"y_median": 0.5}).drop("n"), g)

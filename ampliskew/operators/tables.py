@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as sq
 from ..functions.cols import c, ratio
 from ..functions.ranks import cumulate, exact_quantiles, histogram_quantiles, ordered_positions, top_per_group, value_histogram
-from ..session import cut_lineage
+from ..session import keep
 from .dataset import stable_u01
 from .features import PRIMERS
 from .stats import feature_category, quantile_bins, rank_corr
@@ -222,8 +222,8 @@ def scatter_sample(pred: DataFrame, keys: list[str], n: int = 5000, seed: int =
 
 def calibration(pred: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     """Predictions and residuals per quantile bin of y."""
-    b = quantile_bins(cut_lineage(pred.select(*keys, "y_true", "y_pred")), keys, "y_true", bins)
-    b = cut_lineage(b.withColumn("resid", F.col("y_pred") - F.col("y_true")))
+    b = quantile_bins(keep(pred.select(*keys, "y_true", "y_pred")), keys, "y_true", bins)
+    b = keep(b.withColumn("resid", F.col("y_pred") - F.col("y_true")))
     g = [*keys, "bin"]
     out = b.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg("y_true").alias("y_true_mean"), F.avg("y_pred").alias("y_pred_mean"), F.avg("resid").alias("resid_mean"),
                             F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("resid_rmse"), F.avg(F.abs("resid")).alias("resid_mae"))

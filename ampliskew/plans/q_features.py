@@ -68,7 +68,7 @@ def _(t):
 @query("f04_sequence_context", needs=("fx_catalog", "fx_abundance", "fx_annotation"), sql="""
 WITH s AS (SELECT DISTINCT a.seq_id, a.marker, a.sample_type, n.species_label FROM fx_abundance a JOIN fx_annotation n USING (seq_id) WHERE a.count >= 60),
 g AS (SELECT seq_id, string_agg(DISTINCT marker, ',' ORDER BY marker) AS markers, string_agg(DISTINCT sample_type, ',' ORDER BY sample_type) AS sample_types_seen,
-  substr(string_agg(DISTINCT species_label, ',' ORDER BY species_label), 1, 1000) AS species_labels_seen FROM s GROUP BY 1)
+  string_agg(DISTINCT species_label, ',' ORDER BY species_label) AS species_labels_seen FROM s GROUP BY 1)
 SELECT c.seq_id, coalesce(markers, 'UNKNOWN') AS markers, sample_types_seen, species_labels_seen, CAST(length(sequence) AS INTEGER) AS length,
   CAST((length(sequence) - 60) // 3 + CASE WHEN (length(sequence) - 60) % 3 > 0 THEN 1 ELSE 0 END AS INTEGER) AS mid1_len, substr(sequence, 1, 30) AS head
 FROM fx_catalog c LEFT JOIN g USING (seq_id)""")

@@ -43,7 +43,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, pat
 
 @query("a03_build_manifest", needs=("fx_samples",), sql=f"""
 WITH {FILES} SELECT s.file_id, coalesce(r.n, 0) AS n_matches, r.path AS fastq_path, CASE WHEN r.name = s.file_id || '.fq' THEN 'exact_file_id' WHEN r.name IN (s.file_id || '_R1.fastq.gz', s.file_id || '_1.fq') THEN 'exact_file_id_tag' WHEN r.name IS NOT NULL THEN 'glob_startswith_file_id' END AS match_rule,
-  CASE WHEN r.n IS NULL THEN 'MISSING' WHEN r.n > 1 THEN 'AMBIGUOUS' ELSE 'OK' END AS status, (SELECT string_agg(path, ';' ORDER BY rn) FROM r q WHERE q.file_id = s.file_id AND q.rn <= 20) AS all_matches
+  CASE WHEN r.n IS NULL THEN 'MISSING' WHEN r.n > 1 THEN 'AMBIGUOUS' ELSE 'OK' END AS status, (SELECT string_agg(path, ';' ORDER BY rn) FROM r q WHERE q.file_id = s.file_id) AS all_matches
 FROM fx_samples s LEFT JOIN r ON r.file_id = s.file_id AND r.rn = 1""")
 def _(t):
     m = mf.build_manifest(t.samples.select("file_id", "sample_name"), files(t))

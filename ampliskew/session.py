@@ -1,9 +1,8 @@
-"""Session settings and lineage cuts."""
+"""Session settings and rows that are read several times."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -29,15 +28,10 @@ def build_session(master: str | None = None, app: str = "ampliskew", **conf) ->
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def keep(df: DataFrame) -> DataFrame:
+    """Marks rows that an operator reads several times.
 
-    A folder of our own is used only where neither the setting nor a checkpoint folder exists,
-    which is the case in tests.
+    Nothing runs while the plan is built: the first action fills the store, and blocks of lost executors are computed
+    again from their lineage. No folder is needed.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import any_of
-from ..functions.ranks import top_per_group
 
+# Endings, read tags, scores and rule names.
 EXTS = [".fq", ".fastq", ".fq.gz", ".fastq.gz"]
 TAGS = ["_R1", "_1", ".R1", ".1"]
 
@@ -19,8 +19,8 @@ def list_files(spark: SparkSession, root: str, source_dir: str) -> DataFrame:
     return f.select("path", "size", F.size(F.split(rel, "/")).alias("depth"), F.lit(source_dir).alias("source_dir"))
 
 
-def build_manifest(samples: DataFrame, files: DataFrame, prefer: list[str] = ("trimmed", "raw"), keep: int = 20) -> DataFrame:
-    """Candidates whose name starts with the file id or sample name, scored; the first folder with any wins.
+def build_manifest(samples: DataFrame, files: DataFrame, prefer: list[str] = ("trimmed", "raw"), keep: int | None = None) -> DataFrame:
+    """Candidates whose name starts with the file id or sample name, scored; the first folder with any wins. ``keep`` limits ``all_matches``.
 
     A name meets the ids through its prefixes (at most its length many), an equi join instead of a nested loop.
     """
@@ -38,12 +38,14 @@ def build_manifest(samples: DataFrame, files: DataFrame, prefer: list[str] = ("t
     score = F.when(root & is_any(fid, [""]), 10000).when(root & is_any(sn, [""]), 9500).otherwise(score)
     rule = (F.when(is_any(fid, [""]), "exact_file_id").when(is_any(sn, [""]), "exact_sample_name").when(is_any(fid, TAGS), "exact_file_id_tag").when(is_any(sn, TAGS), "exact_sample_name_tag")
             .when(nm.startswith(fid), "glob_startswith_file_id").when(nm.contains(fid), "glob_contains_file_id").when(nm.startswith(sn), "glob_startswith_sample_name").otherwise("glob_contains_sample_name"))
-    pref = F.array_position(F.array(*[F.lit(p) for p in prefer]), F.col("source_dir"))
+    place = F.array_position(F.array(*[F.lit(p) for p in prefer]), F.col("source_dir"))
+    pref = F.when(place > 0, place).otherwise(len(prefer) + 1)   # folders that aren't listed come last
     c = c.withColumns({"score": score.cast("long"), "match_rule": rule, "_p": pref})
     first = c.groupBy("file_id").agg(F.min("_p").alias("_p"))
     c = c.join(first, ["file_id", "_p"])
     n = c.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_matches"))
-    top = top_per_group(c, ["file_id"], [F.desc("score"), "path"], keep, out="_r")
+    top = c.withColumn("_r", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("score"), "path")))   # the few files of one id
+    top = top if keep is None else top.where(F.col("_r") <= keep)
     g = top.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x.path).alias("all_matches"),
                                    *[F.max(F.when(F.col("_r") == 1, F.col(x))).alias(y) for x, y in (("path", "fastq_path"), ("source_dir", "source_dir"), ("match_rule", "match_rule"))])
     j = samples.join(g.join(n, "file_id"), "file_id", "left").fillna(0, ["n_matches"])

@@ -115,3 +115,11 @@ def test_core_row_width(spark):
     d = spark.createDataFrame([(str(i), s) for i, s in enumerate(SEQS) if s], "seq_id string, sequence string")
     out = ft.core_features(d)
     assert out.count() == len(SEQS) - 1 and sum(c.startswith("feat_") for c in out.columns) > 120
+
+
+def test_arrow_functions_take_null(spark):
+    from ampliskew.functions import arrow
+    df = spark.createDataFrame([(None, "AC"), ("ACGTACGTAA", "AC"), ("", None)], "s string, p string")
+    z = arrow.zones(["AC"], [5], [0.5])
+    got = df.select(arrow.lz76("s"), arrow.dust("s"), arrow.zlib_ratio("s"), arrow.palindromes("s").n6, arrow.mismatch_profile("s", "p"), arrow.best_site("s", "p").mm, z("s")).collect()
+    assert list(got[0]) == [None] * 7 and got[1][0] is not None and got[1][5] == 0

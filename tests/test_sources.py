@@ -63,3 +63,10 @@ def test_trim(spark):
 def test_validate(spark):
     s = spark.createDataFrame([("H12", "12S", "YES"), ("H12", "16S", "NoPCR"), ("", "x", "?")], "file_id string, locus string, pcr string")
     assert sorted(r.problem for r in tables.validate_samples(s).collect()) == ["duplicate file_id", "empty file_id", "unexpected locus", "unrecognized pcr"]
+
+
+def test_unlisted_folder_comes_last(spark):
+    samples = spark.createDataFrame([("H1", "S1"), ("H2", "S2")], "file_id string, sample_name string")
+    files = spark.createDataFrame([("/x/other/H1.fq", 10, 2, "other"), ("/x/trimmed/H1.fq", 10, 2, "trimmed"), ("/x/other/H2.fq", 10, 2, "other")], "path string, size long, depth int, source_dir string")
+    got = {r.file_id: r.fastq_path for r in manifest.build_manifest(samples, files).collect()}
+    assert got == {"H1": "/x/trimmed/H1.fq", "H2": "/x/other/H2.fq"}

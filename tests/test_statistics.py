@@ -90,3 +90,37 @@ def test_splits_do_not_depend_on_partitioning(spark):
     d = spark.createDataFrame(frame())
     a = {r.id: r.split for r in ds.split_by_hash(d.repartition(7), "id").collect()}
     assert a == {r.id: r.split for r in ds.split_by_hash(d.coalesce(1), "id").collect()} and set(a.values()) == {"train", "val", "test"}
+
+
+def test_ranks_of_narrow_tiny_and_tied_values(spark):
+    """Cells follow the data's scale: no cell holds more than a small share of any of these groups."""
+    r = np.random.default_rng(1)
+    n = 4000
+    values = {"tiny": r.uniform(0, 1e-9, n), "times": 1.7e9 + r.integers(0, 1_000_000, n), "negative": -np.exp(r.normal(size=n) * 20), "unit": r.uniform(size=n), "tied": np.where(np.arange(n) % 10 < 9, 1.0, r.normal(size=n))}
+    p = pd.concat([pd.DataFrame({"g": k, "id": [f"{k}{i}" for i in range(n)], "x": v}) for k, v in values.items()])
+    df = spark.createDataFrame(p)
+    got = ranks.average_ranks(df, ["g"], {"x": "rx"}).toPandas().set_index("id").rx.sort_index()
+    assert (got == p.set_index("id").groupby("g").x.rank().sort_index()).all()
+    pos = ranks.ordered_positions(df, ["g"], "x", "id", "pos").toPandas()
+    for _, s in pos.groupby("g"):
+        s = s.sort_values("pos")
+        assert list(s.pos) == list(range(1, n + 1)) and (np.diff(s.x) <= 0).all()
+    cell, part = ranks.value_cells("x")
+    most = df.select("g", "x").distinct().groupBy("g", cell.alias("a"), part.alias("b")).count().groupBy("g").agg(F.max("count").alias("m")).toPandas().set_index("g").m
+    assert (most <= n // 100).all()
+
+
+def test_cells_are_monotone(spark):
+    x = sorted([0.0, -0.0, 1.0, -1.0, 1e300, -1e300, 5e-324, -5e-324, float("inf"), float("-inf"), 2.0, np.nextafter(2.0, 0), np.nextafter(2.0, 3), 1.7e9, 1.7e9 + 1, 0.1, 0.1 + 1e-9])
+    a, b = ranks.value_cells("x")
+    got = [tuple(r) for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", a, b).orderBy("i").select("*").collect()]
+    assert [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+def test_kmer_only_keeps_rows_without_words(spark):
+    df = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "seq_id string, y double")
+    k = spark.createDataFrame([("s1", "k2_head30_AC", 3.0)], "seq_id string, feature string, x double")
+    for variant in ("kmer_only_all", "kmer_only_k2", "all"):
+        got = {r.seq_id: r.features for r in ds.assemble(df, [], variant, k, ["k2_head30_AC", "k2_tail30_GC"]).collect()}
+        assert got["s1"].toArray().tolist() == [3.0, 0.0] and got["s2"].toArray().tolist() == [0.0, 0.0]
+        assert got["s2"].numNonzeros() == 0
