@@ -9,6 +9,8 @@ from .common import ascii_lower, col, fresh, row_keyed, written
 
 #: Code points that part words: ASCII other than digits and letters.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+GAP, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: 64-bit words of the filter that goes to every task: 64 KiB, whatever the benchmark.
 FILTER_WORDS = 1 << 13
 #: Benchmark windows up to which their texts are broadcast (about 100 bytes each); beyond it the join is shuffled.
@@ -88,8 +90,8 @@ def judged(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def without_spans(text, spans) -> Column:
     """The text without the words of ``spans`` and what follows each of them up to the next word."""
-    token = F.regexp_extract_all(text, F.lit(r"^" + PARTS + r"|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.when(text.rlike("^" + PARTS), 1).otherwise(0)
+    token = F.regexp_extract_all(text, F.lit(f"^{GAP}+|{WORD}+{GAP}*"), F.lit(0))
+    lead = F.when(text.rlike(f"^{GAP}"), 1).otherwise(0)
     kept = F.filter(token, lambda t, i: ~F.exists(spans, lambda s: (i + 1 - lead >= s["at"]) & (i + 1 - lead < s["after"])))
     return F.array_join(kept, "")
 

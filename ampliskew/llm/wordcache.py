@@ -14,7 +14,7 @@ class ChunkCache(dict):
     depends on it.
     """
 
-    def __init__(self, encode, limit: int = 700_000):
+    def __init__(self, encode, limit: int = 1_000_000):
         super().__init__()
         self.encode, self.limit = encode, limit
         self._reset()
