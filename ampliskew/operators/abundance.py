@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions.cols import ratio, ratio0
 from ..functions.ranks import ordered_positions, top_per_group
 
@@ -31,10 +32,10 @@ def seq_id(sequence, style: str = "md5") -> Column:
 def relative_abundance(df: DataFrame, sample: str = "sample_id", min_count: int = 0) -> DataFrame:
     """Count over the sample total; rows below ``min_count`` leave after the total is taken.
 
-    Totals come from a map-side combined groupBy and are joined back, so a hot sample never sits in one window.
+    Totals come from a map-side combined groupBy; rows of a hot sample stay spread.
     """
     tot = df.groupBy(sample).agg(F.sum("count").alias("_total"))
-    out = df.join(tot, sample).withColumn("relative_abundance", ratio0("count", "_total")).drop("_total")
+    out = join_facts(df, tot, sample, [x for x in ("seq_id", "sequence") if x in df.columns][:1] or df.columns).withColumn("relative_abundance", ratio0("count", "_total")).drop("_total")
     return out.where(F.col("count") >= min_count) if min_count else out
 
 
@@ -188,7 +189,7 @@ def renormalize(df: DataFrame, keys=("threshold_label", "sample_id")) -> DataFra
     cnt = F.coalesce(F.col("count"), F.lit(0))
     tot = df.groupBy(*keys).agg(F.sum(cnt).alias("retained_total_count"),
                                 F.sum("relative_abundance").alias("retained_signal_fraction_from_original"))
-    return df.join(tot, keys).withColumn("relative_abundance_renorm", ratio0(cnt, "retained_total_count"))
+    return join_facts(df, tot, keys, [x for x in ("seq_id", "sequence") if x in df.columns][:1] or df.columns).withColumn("relative_abundance_renorm", ratio0(cnt, "retained_total_count"))
 
 
 def renorm_checks(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions.cols import ratio, ratio0
 from ..functions.ranks import top_per_group
 
@@ -113,21 +114,22 @@ def sample_totals(ab: DataFrame, sample: str = "sample_id") -> DataFrame:
 def paired_log2fc(ab: DataFrame, pairs: DataFrame, feats: DataFrame | None = None, pseudo: float = 0.5) -> DataFrame:
     """Every sequence present on either side of a pair, with pseudocount log2 fold change.
 
-    Each count is sent to the pairs it takes part in and the two sides meet in one groupBy(pair, sequence):
-    one scan and one shuffle, where a full outer join would take two of each.
+    Each count is sent to the pairs it takes part in, with their totals, and the two sides meet in one
+    groupBy(pair, sequence), where a full outer join would take two scans and two shuffles.
     """
     side = F.explode(F.array(F.struct(F.col("yes_file_id").alias("sample_id"), F.lit(True).alias("yes")),
                              F.struct(F.col("no_file_id").alias("sample_id"), F.lit(False).alias("yes"))))
-    p = pairs.select("pair_id", side.alias("s")).select("pair_id", "s.sample_id", "s.yes")
     tot = sample_totals(ab).select("sample_id", "total")
     meta = (pairs.select("pair_id", *PAIR_KEYS, "yes_file_id", "no_file_id")
             .join(tot.select(F.col("sample_id").alias("yes_file_id"), F.col("total").alias("total_yes")), "yes_file_id")
             .join(tot.select(F.col("sample_id").alias("no_file_id"), F.col("total").alias("total_no")), "no_file_id"))
+    known = ["pair_id", *PAIR_KEYS, "yes_file_id", "no_file_id", "total_yes", "total_no"]
+    p = meta.select(F.struct(*known).alias("_m"), side.alias("s")).select("_m", "s.sample_id", "s.yes")
     cnt = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("count"))), F.lit(0))
-    both = (ab.select("sample_id", "seq_id", "count").join(p, "sample_id").groupBy("pair_id", "seq_id")
-            .agg(cnt(F.col("yes")).alias("count_yes"), cnt(~F.col("yes")).alias("count_no")))
+    both = (join_facts(ab.select("sample_id", "seq_id", "count"), p, "sample_id", "seq_id").groupBy("_m", "seq_id")
+            .agg(cnt(F.col("yes")).alias("count_yes"), cnt(~F.col("yes")).alias("count_no")).select("_m.*", "seq_id", "count_yes", "count_no"))
     rel = lambda s: (F.col(f"count_{s}") + F.lit(pseudo)) / (F.col(f"total_{s}") + F.lit(pseudo))
-    out = (both.join(meta, "pair_id").withColumn("rel_yes", rel("yes")).withColumn("rel_no", rel("no"))
+    out = (both.withColumn("rel_yes", rel("yes")).withColumn("rel_no", rel("no"))
            .withColumn("log2fc", F.log2(F.col("rel_yes") / F.col("rel_no"))))
     out = out.select("pair_id", *PAIR_KEYS, "yes_file_id", "no_file_id", "seq_id", "count_yes", "count_no", "total_yes",
                      "total_no", "rel_yes", "rel_no", "log2fc")
@@ -194,7 +196,7 @@ def kmer_depth_ratio(reference: DataFrame, depth: DataFrame, pairs: DataFrame, k
     side = F.explode(F.array(F.struct(F.col("yes_file_id").alias("file_id"), F.lit(1).alias("yes")),
                              F.struct(F.col("no_file_id").alias("file_id"), F.lit(0).alias("yes"))))
     p = pairs.select("pair_id", side.alias("s")).select("pair_id", "s.file_id", "s.yes")
-    d = depth.where(F.col("depth") > 0).join(p, "file_id")
+    d = join_facts(depth.where(F.col("depth") > 0), p, "file_id", ["contig", "pos"])
     yes = F.col("yes") == 1
     means = d.groupBy("pair_id").agg(F.avg(F.when(yes, F.col("depth"))).alias("_my"), F.avg(F.when(~yes, F.col("depth"))).alias("_mn"))
     k = F.explode(F.array(*[F.lit(x) for x in ks]))
@@ -203,7 +205,7 @@ def kmer_depth_ratio(reference: DataFrame, depth: DataFrame, pairs: DataFrame, k
            .groupBy("pair_id", "contig", "k", "start")
            .agg(F.sum(F.when(yes, F.col("depth")).otherwise(0)).alias("_dy"), F.sum(F.when(~yes, F.col("depth")).otherwise(0)).alias("_dn"))
            .where(F.col("_dn") / F.col("k") > min_local))
-    r = (loc.join(kms, ["contig", "k", "start"]).join(means, "pair_id")
+    r = (join_facts(loc.join(kms, ["contig", "k", "start"]), means, "pair_id", ["contig", "start"])
          .withColumn("r", (F.col("_dy") / F.col("k") / F.coalesce("_my", F.lit(1.0))) / (F.col("_dn") / F.col("k") / F.coalesce("_mn", F.lit(1.0)))))
     return r.groupBy("pair_id", "k", "kmer").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), F.stddev_pop("r").alias("std_ratio"))
 
@@ -226,7 +228,7 @@ def base_shift(pileup: DataFrame, pairs: DataFrame, min_shift: float = 0.05) ->
                    *[F.col(f"f_{b}").alias(f"pcr_{b}") for b in "ATCG"])
     no = f.select(F.col("file_id").alias("no_file_id"), "contig", "pos", F.col("ref").alias("ref_base"), F.col("depth").alias("depth_no"),
                   *[F.col(f"f_{b}").alias(f"no_{b}") for b in "ATCG"])
-    j = pairs.select("pair_id", "yes_file_id", "no_file_id").join(yes, "yes_file_id").join(no, ["no_file_id", "contig", "pos"])
+    j = join_facts(yes, pairs.select("pair_id", "yes_file_id", "no_file_id"), "yes_file_id", ["contig", "pos"]).join(no, ["no_file_id", "contig", "pos"])
     diff = lambda b: F.col(f"pcr_{b}") - F.col(f"no_{b}")
     best = F.array_max(F.array(*[F.struct(F.abs(diff(b)).alias("a"), F.lit(-i).alias("o"), diff(b).alias("d"), F.lit(f"Delta_{b}").alias("c"))
                                  for i, b in enumerate("ATCG")]))

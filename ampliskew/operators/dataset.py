@@ -6,6 +6,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions.cols import c, finite, number
 from ..functions.ranks import ordered_positions
 
@@ -35,7 +36,7 @@ def split_adaptive(df: DataFrame, min_pairs: int = 3) -> DataFrame:
     mode = F.when(F.col("_np") >= min_pairs, "pair").otherwise("seq")
     key = F.concat_ws("::", "species", "locus", F.when(F.col("split_mode") == "pair", F.col("pair_id")).otherwise(F.col("seq_id")))
     u = stable_u01(key)
-    return (df.join(n, ["species", "locus"]).withColumn("split_mode", mode)
+    return (join_facts(df, n, ["species", "locus"], "seq_id").withColumn("split_mode", mode)
             .withColumn("split", F.when(u < 0.15, "test").when(u < 0.30, "val").otherwise("train")).drop("_np"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions import seq as sq
 from ..functions.cols import c
 from .dataset import split_by_hash
@@ -61,9 +62,10 @@ def _both_sides(ab: DataFrame, pairs: DataFrame) -> DataFrame:
     side = F.explode(F.array(F.struct(F.col("exp_yes").alias("experiment"), F.lit(True).alias("yes")), F.struct(F.col("exp_no").alias("experiment"), F.lit(False).alias("yes"))))
     p = pairs.select("dataset", "compare_id", side.alias("s")).select("dataset", "compare_id", "s.*")
     v = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("value"))), F.lit(0.0))
-    g = ab.join(p, ["dataset", "experiment"]).groupBy("compare_id", "seq_id").agg(v(F.col("yes")).alias("count_yes"), v(~F.col("yes")).alias("count_no"))
     t = p.join(tot, ["dataset", "experiment"]).groupBy("compare_id", "dataset").agg(F.max(F.when(F.col("yes"), F.col("_t"))).alias("total_yes"), F.max(F.when(~F.col("yes"), F.col("_t"))).alias("total_no"))
-    return g.join(t, "compare_id")
+    p = p.join(t, ["compare_id", "dataset"])   # totals ride along with the sides, so data rows are dealt once, by comparison and sequence
+    return (join_facts(ab, p, ["dataset", "experiment"], "seq_id").groupBy("compare_id", "dataset", "total_yes", "total_no", "seq_id")
+            .agg(v(F.col("yes")).alias("count_yes"), v(~F.col("yes")).alias("count_no")))
 
 
 def external_log2fc(ab: DataFrame, pairs: DataFrame, sequences: DataFrame | None = None, eps: float = 1e-12, clip: float = 6.0) -> DataFrame:

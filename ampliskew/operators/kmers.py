@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions import seq as sq
 from ..functions.cols import ratio0
 from ..functions.ranks import top_per_group
@@ -159,7 +160,7 @@ def sample_kmer_norm(ab: DataFrame, kmers: DataFrame, vocab: DataFrame, totals:
     k = kmers.join(F.broadcast(vocab.select("scope", "k", "kmer")), ["scope", "k", "kmer"], "left_semi")
     s = (ab.select("sample_id", "seq_id", "count").join(k, "seq_id").groupBy("sample_id", "scope", "k", "kmer")
          .agg(F.sum(F.col("count") * F.col("n")).alias("sum_count")))
-    return s.join(totals.select("sample_id", "total"), "sample_id").where("total > 0").withColumn("norm_per_read", F.col("sum_count") / F.col("total"))
+    return join_facts(s, totals.select("sample_id", "total"), "sample_id", "kmer").where("total > 0").withColumn("norm_per_read", F.col("sum_count") / F.col("total"))
 
 
 def pair_kmer_log2fc(norm: DataFrame, pairs: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -168,7 +169,7 @@ def pair_kmer_log2fc(norm: DataFrame, pairs: DataFrame, eps: float = 1e-12) -> D
                              F.struct(F.col("no_file_id").alias("sample_id"), F.lit(0).alias("yes"))))
     p = pairs.select("pair_id", side.alias("s")).select("pair_id", "s.sample_id", "s.yes")
     val = lambda v: F.coalesce(F.sum(F.when(F.col("yes") == v, F.col("norm_per_read"))), F.lit(0.0))
-    g = norm.join(p, "sample_id").groupBy("pair_id", "scope", "k", "kmer").agg(val(1).alias("yes_norm"), val(0).alias("no_norm"))
+    g = join_facts(norm, p, "sample_id", "kmer").groupBy("pair_id", "scope", "k", "kmer").agg(val(1).alias("yes_norm"), val(0).alias("no_norm"))
     return g.withColumn("log2fc", F.log2((F.col("yes_norm") + eps) / (F.col("no_norm") + eps)))
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_facts
 from ..functions.cols import c, finite, number, ratio
 from ..functions.ranks import average_ranks, cumulate, exact_quantiles, histogram_quantiles, top_per_group
 from ..functions.special import corr_p, normal_two_sided
@@ -141,7 +142,7 @@ def sparse_kmer_stats(training: DataFrame, kmers: DataFrame) -> DataFrame:
     f = t.join(kmers.select("seq_id", "feature", "x"), "seq_id").groupBy("pair_id", "feature").agg(
         F.sum(w * x).alias("_x"), F.sum(w * x * x).alias("_xx"), F.sum(w * x * y).alias("_xy"), F.sum(F.col("cy") * x).alias("_sy"),
         F.sum(F.col("cy") * x * x).alias("_qy"), F.sum(F.col("cn") * x).alias("_sn"), F.sum(F.col("cn") * x * x).alias("_qn"))
-    j = f.join(base, "pair_id").withColumn("pearson_corr", _moment_corr("w_sum", "_x", "_xx", "_y", "_yy", "_xy")).drop("_x", "_xx", "_y", "_yy", "_xy")
+    j = join_facts(f, base, "pair_id", "feature").withColumn("pearson_corr", _moment_corr("w_sum", "_x", "_xx", "_y", "_yy", "_xy")).drop("_x", "_xx", "_y", "_yy", "_xy")
     return _shift_columns(j, None)
 
 
