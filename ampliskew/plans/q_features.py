@@ -66,14 +66,14 @@ def _(t):
 
 
 @query("f04_sequence_context", needs=("fx_catalog", "fx_abundance", "fx_annotation"), sql="""
-WITH s AS (SELECT DISTINCT a.seq_id, a.marker, a.sample_type, n.species_label FROM fx_abundance a JOIN fx_annotation n USING (seq_id) WHERE a.count >= 60),
+WITH s AS (SELECT DISTINCT a.seq_id, a.marker, a.sample_type, n.species_label FROM fx_abundance a JOIN fx_annotation n USING (seq_id)),
 g AS (SELECT seq_id, string_agg(DISTINCT marker, ',' ORDER BY marker) AS markers, string_agg(DISTINCT sample_type, ',' ORDER BY sample_type) AS sample_types_seen,
   string_agg(DISTINCT species_label, ',' ORDER BY species_label) AS species_labels_seen FROM s GROUP BY 1)
 SELECT c.seq_id, coalesce(markers, 'UNKNOWN') AS markers, sample_types_seen, species_labels_seen, CAST(length(sequence) AS INTEGER) AS length,
   CAST((length(sequence) - 60) // 3 + CASE WHEN (length(sequence) - 60) % 3 > 0 THEN 1 ELSE 0 END AS INTEGER) AS mid1_len, substr(sequence, 1, 30) AS head
 FROM fx_catalog c LEFT JOIN g USING (seq_id)""")
 def _(t):
-    a = t.abundance.where("count >= 60").join(t.annotation, "seq_id")
+    a = t.abundance.join(t.annotation, "seq_id")
     return ft.sequence_context(t.catalog, a).select("seq_id", "markers", "sample_types_seen", "species_labels_seen", "length", "mid1_len", "head")
 
 
@@ -153,8 +153,8 @@ def _(t):
     return t.read_catalog.select("seq_id", sq.alternating_max(S).alias("v"))
 
 
-@query("f19_f20_kmer_summaries", needs=RC, digits=5, r=" ".join(f"{f}_{k}" for f in ("entropy", "gini", "top10cov", "lingcomp") for k in (1, 3, 8)), sql="""
-WITH w AS (SELECT seq_id, k, length(sequence) AS n, unnest([substr(sequence, i, k) for i in range(1, length(sequence) - k + 2)]) AS kmer FROM fx_read_catalog, (VALUES (1), (3), (8)) v(k)),
+@query("f19_f20_kmer_summaries", needs=RC, digits=5, r=" ".join(f"{f}_{k}" for f in ("entropy", "gini", "top10cov", "lingcomp") for k in range(1, 9)), sql="""
+WITH w AS (SELECT seq_id, k, length(sequence) AS n, unnest([substr(sequence, i, k) for i in range(1, length(sequence) - k + 2)]) AS kmer FROM fx_read_catalog, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) v(k)),
 c AS (SELECT seq_id, k, n, kmer, count(*) AS c FROM w WHERE kmer NOT LIKE '%N%' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k ORDER BY c, kmer) AS i, row_number() OVER (PARTITION BY seq_id, k ORDER BY c DESC, kmer) AS j,
   sum(c) OVER (PARTITION BY seq_id, k) AS t FROM c),
@@ -162,12 +162,12 @@ g AS (SELECT seq_id, k, count(*) AS d, -sum((c / t) * log2(c / t)) AS e, 2.0::DO
   sum(CASE WHEN j <= 10 THEN c END) / any_value(t) AS top, count(*) / CAST(least(pow(4, k), any_value(n) - k + 1) AS DOUBLE) AS ling FROM r GROUP BY seq_id, k)
 SELECT b.seq_id, {cols} FROM fx_read_catalog b {joins}""".format(
     cols=", ".join(f"CAST(coalesce(g{k}.d, 0) AS INTEGER) AS distinct_{k}, coalesce(g{k}.e, 0) AS entropy_{k}, coalesce(g{k}.gini, 0) AS gini_{k}, "
-                   f"coalesce(g{k}.top, 0) AS top10cov_{k}, coalesce(g{k}.ling, 0) AS lingcomp_{k}" for k in (1, 3, 8)),
-    joins=" ".join(f"LEFT JOIN g g{k} ON g{k}.seq_id = b.seq_id AND g{k}.k = {k}" for k in (1, 3, 8))))
+                   f"coalesce(g{k}.top, 0) AS top10cov_{k}, coalesce(g{k}.ling, 0) AS lingcomp_{k}" for k in range(1, 9)),
+    joins=" ".join(f"LEFT JOIN g g{k} ON g{k}.seq_id = b.seq_id AND g{k}.k = {k}" for k in range(1, 9))))
 def _(t):
     d = ft.kmer_summaries(t.read_catalog)
-    return d.select("seq_id", *[F.col(f"feat_k{k}_{f}").alias(f"{f}_{k}") for k in (1, 3, 8) for f in ("distinct", "entropy", "gini", "top10cov")],
-                    *[F.col(f"feat_lingcomp_k{k}").alias(f"lingcomp_{k}") for k in (1, 3, 8)])
+    return d.select("seq_id", *[F.col(f"feat_k{k}_{f}").alias(f"{f}_{k}") for k in range(1, 9) for f in ("distinct", "entropy", "gini", "top10cov")],
+                    *[F.col(f"feat_lingcomp_k{k}").alias(f"lingcomp_{k}") for k in range(1, 9)])
 
 
 NN_ALL = {**sq.NN, **{sq.revcomp_text(k): v for k, v in sq.NN.items()}}

@@ -1,5 +1,7 @@
 """Queries G01-G16, A15."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import bias
@@ -25,26 +27,26 @@ def _(t):
 
 
 @query("g02_kmer_df", needs=("fx_read_catalog",), i="total_count", sql=f"""
-WITH {words(range(1, 7), table='fx_read_catalog')} SELECT scope, k, kmer, count(*) AS df, sum(n) AS total_count FROM kl GROUP BY ALL""")
+WITH {words(range(1, 9), table='fx_read_catalog')} SELECT scope, k, kmer, count(*) AS df, sum(n) AS total_count FROM kl GROUP BY ALL""")
 def _(t):
-    return km.kmer_df(km.kmers_long(t.read_catalog, range(1, 7)))
+    return km.kmer_df(km.kmers_long(t.read_catalog, range(1, 9)))
 
 
 VOC = """vd AS (SELECT scope, k, kmer, count(*) AS df, CAST(sum(n) AS BIGINT) AS total_count FROM kl GROUP BY ALL HAVING count(*) >= 10),
 vo AS (SELECT * FROM vd QUALIFY row_number() OVER (PARTITION BY scope, k ORDER BY df DESC, total_count DESC, kmer) <= {cap})"""
 
 
-def vocab(t, ks=range(1, 9), cap=300):
+def vocab(t, ks=range(1, 9), cap=2000):
     return km.select_vocab(km.kmer_df(km.kmers_long(t.catalog, ks)), 10, cap)
 
 
-@query("g03_select_vocab", needs=CAT, sql=f"WITH {words(range(1, 9))}, {VOC.format(cap=300)} SELECT * FROM vo")
+@query("g03_select_vocab", needs=CAT, sql=f"WITH {words(range(1, 9))}, {VOC.format(cap=2000)} SELECT * FROM vo")
 def _(t):
     return vocab(t)
 
 
 @query("g04_union_vocab", needs=CAT, sql=f"""
-WITH {words(range(1, 9))}, {VOC.format(cap=300)}
+WITH {words(range(1, 9))}, {VOC.format(cap=2000)}
 SELECT k, kmer, CAST(sum(df) AS BIGINT) AS df_sum, CAST(sum(total_count) AS BIGINT) AS total_sum FROM vo WHERE k BETWEEN 3 AND 5 GROUP BY k, kmer
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY sum(df) DESC, sum(total_count) DESC, kmer) <= 250""")
 def _(t):
@@ -71,22 +73,22 @@ def _(t):
 STRICT = """SELECT seq_id, k, CASE WHEN st + k <= 30 THEN 'head30' WHEN st >= greatest(n - 30, 0) THEN 'tail30'
   WHEN st >= 30 AND st + k <= greatest(n - 30, 0) AND greatest(n - 30, 0) - 30 - k + 1 > 0 THEN 'mid' || CAST(least(floor((st - 30) * 3 / CAST(greatest(n - 30, 0) - 30 - k + 1 AS DOUBLE)), 2) AS INTEGER) END AS region, kmer
 FROM (SELECT seq_id, length(sequence) AS n, k, i - 1 AS st, substr(sequence, CAST(i AS INTEGER), k) AS kmer
-  FROM (SELECT seq_id, sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM {src}, (VALUES (6), (7)) v(k)) a) b WHERE kmer NOT LIKE '%N%'"""
+  FROM (SELECT seq_id, sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM {src}, (VALUES (6), (7), (8)) v(k)) a) b WHERE kmer NOT LIKE '%N%'"""
 
 
 @query("g07_region_kmers_strict", needs=("fx_read_catalog",), i="x", sql=f"""
 SELECT k, region, kmer, count(DISTINCT seq_id) AS n_seqs, count(*) AS x FROM ({STRICT.format(src='fx_read_catalog')}) s WHERE region IS NOT NULL GROUP BY ALL""")
 def _(t):
-    r = km.region_kmers_strict(t.read_catalog, None, (6, 7))
+    r = km.region_kmers_strict(t.read_catalog)
     return r.groupBy("k", "region", "kmer").agg(F.count(F.lit(1)).alias("n_seqs"), F.sum("x").alias("x"))
 
 
 @query("g07_region_kmers_vocab", needs=CAT, sql=f"""
-WITH {words((6, 7))}, {VOC.format(cap=300)}, v AS (SELECT DISTINCT k, kmer FROM vo)
+WITH {words((6, 7, 8))}, {VOC.format(cap=2000)}, v AS (SELECT DISTINCT k, kmer FROM vo)
 SELECT seq_id, k, region, kmer, CAST(count(*) AS DOUBLE) AS x FROM ({STRICT.format(src='fx_catalog')}) s JOIN v USING (k, kmer) WHERE region IS NOT NULL GROUP BY ALL""")
 def _(t):
-    v = km.union_vocab(vocab(t, (6, 7)), 6, 7)
-    return km.region_kmers_strict(t.catalog, v, (6, 7))
+    v = km.union_vocab(vocab(t, (6, 7, 8)))
+    return km.region_kmers_strict(t.catalog, v)
 
 
 SEG = """SELECT seq_id, region, s FROM (SELECT seq_id, sequence, greatest(length(sequence) - 60, 0) AS m FROM {src}) x, LATERAL (VALUES ('head30', left(sequence, 30)), ('tail30', right(sequence, 30)),
@@ -100,19 +102,24 @@ SEG_FLOOR = """('mid0', substr(sequence, 31, CAST(m // 3 AS INTEGER))), ('mid1',
 
 @query("g08_region_kmers_segment", needs=("fx_read_catalog",), i="x", sql=f"""
 SELECT k, region, kmer, count(DISTINCT seq_id) AS n_seqs, count(*) AS x FROM (SELECT seq_id, region, k, unnest([substr(s, i, k) for i in range(1, length(s) - k + 2)]) AS kmer
-  FROM ({SEG.format(src='fx_read_catalog', mids=SEG_SIZES)}) g, (VALUES (5), (6)) v(k)) w WHERE kmer NOT LIKE '%N%' GROUP BY ALL""")
+  FROM ({SEG.format(src='fx_read_catalog', mids=SEG_SIZES)}) g, (VALUES (6), (7), (8)) v(k)) w WHERE kmer NOT LIKE '%N%' GROUP BY ALL""")
 def _(t):
-    r = km.region_kmers_segment(t.read_catalog, None, (5, 6))
+    r = km.region_kmers_segment(t.read_catalog)
     return r.groupBy("k", "region", "kmer").agg(F.count(F.lit(1)).alias("n_seqs"), F.sum("x").alias("x"))
 
 
-@query("g09_region_kmers_full", needs=CAT, sql=f"""
-SELECT seq_id, region, kmer, CAST(count(*) AS DOUBLE) AS x, CAST(64 * (list_position(['head30', 'mid0', 'mid1', 'mid2', 'tail30'], region) - 1)
-  + 16 * (instr('ACGT', kmer[1]) - 1) + 4 * (instr('ACGT', kmer[2]) - 1) + instr('ACGT', kmer[3]) - 1 AS BIGINT) AS col
-FROM (SELECT seq_id, region, unnest([substr(s, i, 3) for i in range(1, length(s) - 1)]) AS kmer FROM ({SEG.format(src='fx_catalog', mids=SEG_FLOOR)}) g) w
-WHERE kmer NOT LIKE '%N%' GROUP BY seq_id, region, kmer""")
+def full_sql(k):
+    code = " + ".join(f"{4 ** (k - 1 - i)} * (instr('ACGT', kmer[{i + 1}]) - 1)" for i in range(k))
+    return f"""SELECT seq_id, CAST({k} AS INTEGER) AS k, region, kmer, CAST(count(*) AS DOUBLE) AS x,
+  CAST({4 ** k} * (list_position(['head30', 'mid0', 'mid1', 'mid2', 'tail30'], region) - 1) + {code} AS BIGINT) AS col
+FROM (SELECT seq_id, region, unnest([substr(s, i, {k}) for i in range(1, length(s) - {k} + 2)]) AS kmer FROM ({SEG.format(src='fx_catalog', mids=SEG_FLOOR)}) g) w
+WHERE kmer NOT LIKE '%N%' GROUP BY seq_id, region, kmer"""
+
+
+@query("g09_region_kmers_full", needs=CAT, sql=" UNION ALL ".join(map(full_sql, range(1, 6))))
 def _(t):
-    return km.region_kmers_full(t.catalog, 3).drop("k")
+    parts = [km.region_kmers_full(t.catalog, k).withColumn("k", F.lit(k)) for k in range(1, 6)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 MOTIF = f"""rg AS (SELECT seq_id, replace(replace(replace(region, 'mid2', 'mid3'), 'mid1', 'mid2'), 'mid0', 'mid1') AS region, s

@@ -144,10 +144,10 @@ def _(t):
 
 @query("i11_clean_features", needs=("fx_external",), sql="""
 SELECT dataset, seq_id, CAST(value AS DOUBLE) AS y, CASE WHEN value > 80 THEN 0.0::DOUBLE WHEN value > 60 THEN 1e10 ELSE value END AS a FROM fx_external
-WHERE experiment LIKE '%r1' AND value <> 3 AND dataset IN (SELECT dataset FROM fx_external WHERE experiment LIKE '%r1' AND value <> 3 GROUP BY 1 HAVING count(*) >= 10)""")
+WHERE value <> 3 AND dataset IN (SELECT dataset FROM fx_external WHERE value <> 3 GROUP BY 1 HAVING count(*) >= 10)""")
 def _(t):
     v = F.col("value")
-    d = t.external.where(F.col("experiment").endswith("r1")).select("dataset", "seq_id", F.when(v == 3, F.lit("x")).otherwise(v.cast("string")).alias("y"),
+    d = t.external.select("dataset", "seq_id", F.when(v == 3, F.lit("x")).otherwise(v.cast("string")).alias("y"),
                                                                     F.when(v > 80, "Infinity").when(v > 60, "1e30").otherwise(v.cast("string")).alias("a"))
     return ds.clean_features(d, ["a"], "y", ["dataset"])
 
