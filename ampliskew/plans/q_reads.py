@@ -1,7 +1,8 @@
-"""Queries A02-A04, A10, A15, B01-B04, B07-B11, B13, E13-E18."""
+"""Queries A01-A13, A15, B01-B04, B07-B11, B13, E13-E18."""
 
 from pyspark.sql import functions as F
 
+from .. import schemas as sc
 from ..functions import seq as sq
 from ..operators import external as ex
 from ..operators import kmers as km
@@ -15,6 +16,89 @@ RC, RD = ("fx_read_catalog",), ("fx_reads",)
 SHORT = {"12S": ("ACGTA", "TTAGC"), "16S": ("GATYC", "CCGA")}
 
 
+@query("a01_typed_samples", sql="""
+SELECT 'S' || s_suppkey AS file_id, coalesce(TRY_CAST(trim(n) AS INTEGER), -1) AS n_individuals, coalesce(TRY_CAST(trim(m) AS INTEGER), -1) AS min_len
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'many' WHEN s_suppkey % 7 = 0 THEN NULL ELSE ' ' || s_nationkey || ' ' END AS n, CASE WHEN s_acctbal < 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS m FROM supplier) x""")
+def _(t):
+    k = F.col("s_suppkey")
+    n = F.when(k % 5 == 0, "many").when(k % 7 != 0, F.concat(F.lit(" "), "s_nationkey", F.lit(" ")))
+    s = t.raw("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("file_id"), n.alias("n_individuals"), F.when(F.col("s_acctbal") < 0, "").otherwise(k.cast("string")).alias("min_len"))
+    return tbl.typed_samples(s).fillna(-1)
+
+
+@query("a05_parse_fastq", sql="""
+WITH d AS (SELECT doc_id, translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 'bdefhijklmnopqrsuvwxyz', 'ccgtacgtacgtacgtacgtac') AS s FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'r' ELSE 'r' || doc_id || ' x' END AS header, upper(s) AS seq, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'I' ELSE repeat('I', length(s)) END AS qual,
+  CASE WHEN doc_id % 13 = 0 THEN 'truncated' WHEN doc_id % 11 = 0 THEN 'line1_not_header(@)' WHEN doc_id % 7 = 0 THEN 'line3_not_plus(+)' WHEN doc_id % 5 = 0 AND length(s) <> 1 THEN 'seq_qual_length_mismatch' END AS problem FROM d""")
+def _(t):
+    i = F.col("doc_id")
+    s = F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), "bdefhijklmnopqrsuvwxyz", "ccgtacgtacgtacgtacgtac")
+    d = t.raw("documents").select("doc_id", s.alias("s"))
+    head = F.when(i % 11 == 0, "r").otherwise(F.concat(F.lit("@r"), "doc_id", F.lit(" x")))
+    tail = F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("\n"), F.when(i % 5 == 0, "I").otherwise(F.repeat(F.lit("I"), F.length("s")))))
+    return tbl.parse_fastq(d.select("doc_id", F.concat(head, F.lit("\n"), "s", F.lit("\r\n"), F.when(i % 7 == 0, "-").otherwise("+"), tail).alias("value")))
+
+
+@query("a06_parse_fasta", sql="""
+SELECT 'q' || doc_id AS seq_id, upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS sequence FROM documents""")
+def _(t):
+    d = t.raw("documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, ">").otherwise(""), F.lit("q"), "doc_id", F.lit(" note of it\n"), F.regexp_replace("text", "[^a-zA-Z\\s]", ""), F.lit("\n")).alias("value"))
+    return tbl.parse_fasta(d)
+
+
+HIT_FIELDS = ["p_name", "p_brand", "p_size", "p_partkey", "p_size", "p_retailprice", "p_retailprice", "p_brand", "p_type"]
+
+
+@query("a08_parse_hits", sql="""
+SELECT 'm' || (p_partkey % 3) AS marker, p_name AS qseqid, p_brand AS sseqid, CAST(p_size AS DOUBLE) AS pident, CAST(p_partkey AS INTEGER) AS length, CASE WHEN p_size > 40 THEN -1 ELSE CAST(p_size AS DOUBLE) END AS qcovs,
+  p_retailprice AS evalue, p_retailprice AS bitscore, p_brand AS sscinames, NULLIF(CASE WHEN p_size < 5 THEN '' ELSE p_type END, '') AS stitle FROM part""")
+def _(t):
+    x = {"p_size": F.when(F.col("p_size") > 40, "n/a").otherwise(F.col("p_size").cast("string"))}
+    cols = [F.col(f).cast("string") if not (f == "p_size" and n == 4) else x[f] for n, f in enumerate(HIT_FIELDS)]
+    cols[-1] = F.when(F.col("p_size") < 5, "").otherwise(F.col("p_type"))
+    d = t.raw("part").select(F.concat(F.lit("/d/m"), F.col("p_partkey") % 3, F.lit(".blast.tsv")).alias("path"), F.concat_ws("\t", *cols).alias("value"))
+    return tbl.parse_lines(d.select(tbl.marker_of_file("path").alias("marker"), "value"), sc.HITS).fillna(-1, ["qcovs"])
+
+
+@query("a09_parse_alignment", sql="""
+SELECT 'depth' AS kind, 'c' || l_suppkey AS contig, CAST(l_partkey AS INTEGER) AS pos, CAST(l_linenumber AS INTEGER) AS depth, '' AS ref, '' AS bases, CAST(-1 AS BIGINT) AS mapped FROM lineitem
+UNION ALL SELECT 'pileup', 'c' || l_suppkey, CAST(l_partkey AS INTEGER), CAST(l_linenumber AS INTEGER), l_returnflag, l_linestatus, -1 FROM lineitem
+UNION ALL SELECT 'idxstats', 'c' || l_suppkey, -1, -1, '', '', l_orderkey FROM lineitem""")
+def _(t):
+    l = t.raw("lineitem").withColumn("contig", F.concat(F.lit("c"), "l_suppkey"))
+    line = lambda *x: l.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in x]).alias("value"))
+    out = ["contig", "pos", "depth", "ref", "bases", "mapped"]
+    null = {"pos": "int", "depth": "int", "ref": "string", "bases": "string", "mapped": "bigint"}
+    parts = [("depth", line("contig", "l_partkey", "l_linenumber"), sc.DEPTH), ("pileup", line("contig", "l_partkey", "l_returnflag", "l_linenumber", "l_linestatus", "l_linestatus"), sc.PILEUP),
+             ("idxstats", line("contig", "l_partkey", "l_orderkey", "l_orderkey"), sc.IDXSTATS)]
+    done = []
+    for kind, d, schema in parts:
+        p = tbl.parse_lines(d, schema)
+        done.append(p.select(F.lit(kind).alias("kind"), *[F.col(c) if c in p.columns else F.lit(None).cast(null[c]).alias(c) for c in out]))
+    return done[0].unionByName(done[1]).unionByName(done[2]).fillna(-1).fillna("")
+
+
+@query("a11_split_of_file", sql="""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS split FROM orders""")
+def _(t):
+    k = F.col("o_orderkey") % 4
+    name = F.concat(F.lit("/d/x."), F.when(k == 0, "train").when(k == 1, "val").when(k == 2, "test").otherwise("other"), F.when(k == 1, ".tsv.gz").otherwise(".tsv"))
+    return t.raw("orders").select("o_orderkey", tbl.split_of_file(name).alias("split"))
+
+
+@query("a12_table_lines", sql="""
+SELECT p_partkey || chr(9) || coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, '') || chr(9) || p_size AS value FROM part""")
+def _(t):
+    return tbl.table_lines(t.raw("part").withColumn("p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_name"))), ["p_partkey", "p_name", "p_size"])
+
+
+@query("a13_partition_folder", sql="""
+SELECT 'marker=' || coalesce(CASE WHEN p_size > 3 THEN p_brand END, '__HIVE_DEFAULT_PARTITION__') || '/size=' || p_size AS folder, count(*) AS n FROM part GROUP BY 1""")
+def _(t):
+    p = t.raw("part").select(F.when(F.col("p_size") > 3, F.col("p_brand")).alias("marker"), F.col("p_size").alias("size"))
+    return p.groupBy(tbl.partition_folder(["marker", "size"]).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a02_validate_samples", needs=("fx_samples",), sql="""
 WITH s AS (SELECT CASE WHEN i = 3 THEN 'src2' WHEN i = 5 THEN ' ' ELSE file_id END AS file_id, CASE WHEN i = 7 THEN '18S' ELSE locus END AS locus, CASE WHEN i = 8 THEN 'maybe' WHEN i = 9 THEN 'NoPCR' ELSE pcr END AS pcr FROM fx_samples)
 SELECT file_id, 'empty file_id' AS problem FROM s WHERE trim(file_id) = '' UNION ALL SELECT file_id, 'unexpected locus' FROM s WHERE locus NOT IN ('12S', '16S', 'srRNA', 'lrRNA')
@@ -53,12 +137,16 @@ def _(t):
 @query("a04_audit_manifest", needs=("fx_samples",), sql="""
 WITH m AS (SELECT file_id, i, CASE WHEN i % 5 = 0 THEN NULL WHEN i % 5 = 1 THEN '/d/raw/none' || i ELSE '/d/p' || (i // 4) END AS p FROM fx_samples)
 SELECT file_id, 'missing' AS problem FROM m WHERE p IS NULL UNION ALL SELECT file_id, 'path_not_found' FROM m WHERE p LIKE '/d/raw/none%'
-UNION ALL SELECT file_id, 'shared_path' FROM m WHERE p IN (SELECT p FROM m GROUP BY p HAVING count(*) > 1)""")
+UNION ALL SELECT file_id, 'shared_path' FROM m WHERE p IN (SELECT p FROM m GROUP BY p HAVING count(*) > 1)
+UNION ALL SELECT m.file_id, CASE WHEN q % 4 = 0 THEN 'line1_not_header(@)' WHEN q % 4 = 1 THEN 'line3_not_plus(+)' ELSE 'seq_qual_length_mismatch' END FROM m JOIN (SELECT DISTINCT i // 4 AS q FROM fx_samples) r ON m.p = '/d/p' || q WHERE q % 4 < 3""")
 def _(t):
     i = F.col("i")
     m = t.samples.select("file_id", F.when(i % 5 == 1, F.concat(F.lit("/d/raw/none"), i)).when(i % 5 > 1, F.concat(F.lit("/d/p"), F.floor(i / 4).cast("int"))).alias("fastq_path"))
     m = m.withColumn("status", F.when(F.col("fastq_path").isNull(), "MISSING").otherwise("OK"))
-    return mf.audit_manifest(m, t.samples.select(F.concat(F.lit("/d/p"), F.floor(i / 4).cast("int")).alias("path")).distinct())
+    f = t.samples.select(F.floor(i / 4).cast("int").alias("q")).distinct().select(F.concat(F.lit("/d/p"), "q").alias("path"), "q")
+    q = F.col("q") % 4
+    first = f.select("path", F.when(q == 0, ">r").otherwise("@r").alias("header"), F.lit("ACGT").alias("seq"), F.when(q == 1, "r").otherwise("+").alias("plus"), F.when(q == 2, "III").otherwise("IIII").alias("qual"))
+    return mf.audit_manifest(m, f.select("path"), first)
 
 
 @query("a10_external_to_long", sql="""
@@ -69,6 +157,13 @@ def _(t):
     return ex.to_long(p.select(F.col("p_partkey").cast("string").alias("raw"), (F.col("p_size") % 5).cast("string").alias("PCR1"), F.floor("p_retailprice").cast("string").alias("PCR2")))
 
 
+@query("a10_external_long_form", sql="""
+SELECT CAST(l_partkey AS VARCHAR) AS raw_id, trim(l_linestatus) AS experiment, sum(CAST(l_linenumber AS DOUBLE)) AS value FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1, 2""")
+def _(t):
+    l = t.raw("lineitem").select(F.concat(F.lit(" "), "l_linestatus").alias("Experiment "), F.when(F.col("l_linenumber") == 2, "zero").otherwise(F.col("l_linenumber").cast("string")).alias("READS"), F.col("l_partkey").cast("string").alias("Seq"))
+    return ex.to_long(l)
+
+
 @query("a15_kmer_json", needs=("fx_catalog",), sql="""
 SELECT seq_id, kmer, CAST(count(*) AS INTEGER) AS n FROM (SELECT seq_id, unnest([substr(sequence, i, 2) for i in range(1, length(sequence))]) AS kmer FROM fx_catalog) w GROUP BY 1, 2""")
 def _(t):

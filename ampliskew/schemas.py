@@ -1,5 +1,6 @@
 """Column names and declared schemas of the input tables."""
 
+# Names and accepted spellings of the inputs.
 PAIRED_COLUMNS = ["file_id", "sample_name", "species", "n_individuals", "locus", "pcr"]
 MIXTURE_COLUMNS = ["sample_id", "file_path", "marker", "group_name", "sample_type", "species_scope", "is_core_analysis", "forward_primer_5to3",
                    "reverse_primer_5to3", "min_len", "max_len", "notes"]

@@ -29,8 +29,19 @@ def merge_by_id(tables: list[DataFrame], key: str = "seq_id") -> DataFrame:
 def read_samples(spark: SparkSession, path, kind: str = "paired") -> DataFrame:
     """Metadata with required columns checked and numbers typed."""
     req = sc.PAIRED_COLUMNS if kind == "paired" else sc.MIXTURE_REQUIRED
-    df = require(read_table(spark, path), req, f"{kind} metadata")
-    return df.withColumns({x: F.col(x).try_cast(t) for x, t in sc.NUMERIC.items() if x in df.columns})
+    return typed_samples(require(read_table(spark, path), req, f"{kind} metadata"))
+
+
+def typed_samples(df: DataFrame) -> DataFrame:
+    """Number columns of text metadata; what doesn't parse is NULL."""
+    return df.withColumns({x: F.trim(x).try_cast(t) for x, t in sc.NUMERIC.items() if x in df.columns})
+
+
+def parse_lines(lines: DataFrame, schema: str, sep: str = "\t", line: str = "value") -> DataFrame:
+    """The fields of delimited text lines as typed columns behind the other columns of ``lines``; blanks and values that don't parse are NULL."""
+    part = F.split(F.col(line), F.lit(sep if sep not in "|." else "\\" + sep), -1)
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return lines.select(*[x for x in lines.columns if x != line], *[blank_to_null(F.get(part, F.lit(i))).try_cast(t).alias(n) for i, (n, t) in enumerate(fields)])
 
 
 def normalize_pcr(x="pcr") -> Column:
@@ -51,7 +62,12 @@ def validate_samples(df: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
     """Records cut at '\\n>', id = first word of the header, lines joined and upper-cased."""
-    t = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", ""))
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """seq_id and sequence of records as text (``value``), with or without their leading '>'."""
+    t = records.withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.regexp_extract("value", "^([^\\n\\r]*)", 1)
     body = F.regexp_replace(F.regexp_extract("value", "(?s)^[^\\n]*\\n(.*)$", 1), "\\s", "")
     return t.where(F.length("value") > 0).select(F.regexp_extract(head, "^(\\S*)", 1).alias("seq_id"), F.upper(body).alias("sequence"))
@@ -61,9 +77,28 @@ def _from_name(pattern: str) -> Column:
     return F.regexp_extract(F.input_file_name(), pattern, 1)
 
 
+def parse_fastq(records: DataFrame, value: str = "value") -> DataFrame:
+    """Header, upper-case seq, qual and problem (NULL if well formed) of four-line records as text, behind the other columns."""
+    part = F.split(F.col(value), "\r?\n", -1)
+    at = lambda i: F.get(part, F.lit(i))
+    bad = (F.when(F.size(part) < 4, "truncated").when(~at(0).startswith("@"), "line1_not_header(@)").when(~at(2).startswith("+"), "line3_not_plus(+)")
+           .when(F.length(at(1)) != F.length(at(3)), "seq_qual_length_mismatch"))
+    return records.select(*[x for x in records.columns if x != value], F.regexp_replace(at(0), "^@", "").alias("header"), F.upper(at(1)).alias("seq"), at(3).alias("qual"), bad.alias("problem"))
+
+
+def marker_of_file(path) -> Column:
+    """<marker>.blast.tsv."""
+    return F.nullif(F.regexp_extract(path, "([^/]+)\\.blast\\.tsv", 1), F.lit(""))
+
+
+def split_of_file(path) -> Column:
+    """Train, val or test in <name>.<split>.tsv."""
+    return F.nullif(F.regexp_extract(path, "\\.(train|val|test)\\.tsv", 1), F.lit(""))
+
+
 def read_hits(spark: SparkSession, path) -> DataFrame:
     """Tabular hits, marker from <marker>.blast.tsv."""
-    return spark.read.schema(sc.HITS).option("sep", "\t").csv(path).withColumn("marker", _from_name("([^/]+)\\.blast\\.tsv"))
+    return spark.read.schema(sc.HITS).option("sep", "\t").csv(path).withColumn("marker", marker_of_file(F.input_file_name()))
 
 
 def read_alignment(spark: SparkSession, path, kind: str) -> DataFrame:
@@ -74,7 +109,7 @@ def read_alignment(spark: SparkSession, path, kind: str) -> DataFrame:
 def read_training(spark: SparkSession, path) -> DataFrame:
     """Training chunks; split from the file name, a ``split`` column wins."""
     df = read_table(spark, path)
-    named = F.nullif(_from_name("\\.(train|val|test)\\.tsv"), F.lit(""))
+    named = split_of_file(F.input_file_name())
     return df.withColumn("split", F.coalesce(blank_to_null("split"), named) if "split" in df.columns else named)
 
 
@@ -87,6 +122,16 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
         d.write.mode(mode).csv(path, sep="\t", header=True, compression="gzip")
 
 
+def table_lines(df: DataFrame, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Rows as delimited lines in a fixed column order; NULL is blank."""
+    return df.select(F.concat_ws(sep, *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in columns]).alias("value"))
+
+
+def partition_folder(columns: list[str]) -> Column:
+    """The folder below the root that a row is written to."""
+    return F.concat_ws("/", *[F.concat(F.lit(f"{x}="), F.coalesce(F.col(x).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for x in columns])
+
+
 def write_partitioned(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet", mode: str = "error") -> None:
     """One folder per value of ``columns``."""
     df.write.mode(mode).partitionBy(*columns).format(fmt).save(path)
