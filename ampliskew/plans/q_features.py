@@ -105,6 +105,48 @@ def _(t):
     return t.read_catalog.withColumns({k: cols[k] for k in keep}).withColumn("pal", arrow.palindromes(S)).select("seq_id", *keep, "pal.*")
 
 
+@query("f09_lz76", needs=("fx_catalog",), sql="""
+WITH RECURSIVE step(seq_id, x, n, start, parts) AS (SELECT seq_id, sequence, length(sequence), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM fx_catalog
+  UNION ALL SELECT seq_id, x, n, coalesce(list_min([e for e in range(start + 1, n + 1) if position(substr(x, start + 1, e - start) IN substr(x, 1, e - 1)) = 0]), n), parts + 1 FROM step WHERE start < n)
+SELECT seq_id, CASE WHEN max(n) < 2 THEN 2 * max(n) ELSE max(parts) END AS feat_lz76 FROM step GROUP BY seq_id""")
+def _(t):
+    return t.catalog.select("seq_id", arrow.lz76(S).alias("feat_lz76"))
+
+
+def reps_sql(u):
+    return (f"coalesce(list_max([r for r in range(2, length(sequence) // {u} + 1) if len([i for i in range(1, length(sequence) - {u} * r + 2) "
+            f"if substr(sequence, i, {u} * r) = repeat(substr(sequence, i, {u}), r) AND NOT contains(substr(sequence, i, {u}), 'N')]) > 0]), 1)")
+
+
+def shape_sql(u, r, n_free):
+    free = f" AND NOT contains(substr(sequence, i, {u}), 'N')" if n_free else ""
+    return f"flatten([range(i, i + {u * r}) for i in range(1, length(sequence) - {u * r} + 2) if substr(sequence, i, {u * r}) = repeat(substr(sequence, i, {u}), {r}){free}])"
+
+
+@query("f13_tandem_repeats", needs=("fx_catalog",), r="feat_tandem_density", sql=f"""
+SELECT seq_id, CAST({reps_sql(2)} AS INTEGER) AS feat_direp_maxreps, CAST({reps_sql(3)} AS INTEGER) AS feat_trirep_maxreps,
+  len(list_distinct(list_concat({shape_sql(3, 3, True)}, {shape_sql(2, 3, True)}, {shape_sql(1, 4, False)}))) / CAST(length(sequence) AS DOUBLE) AS feat_tandem_density FROM fx_catalog""")
+def _(t):
+    return t.catalog.select("seq_id", sq.max_tandem(S, 2).alias("feat_direp_maxreps"), sq.max_tandem(S, 3).alias("feat_trirep_maxreps"), sq.tandem_density(S).alias("feat_tandem_density"))
+
+
+@query("f14_palindromes", needs=("fx_catalog",), sql="""
+WITH c AS (SELECT seq_id, sequence AS x, unnest(range(1, length(sequence))) AS c FROM fx_catalog), h AS (SELECT seq_id, x, c, unnest(range(1, least(c, length(x) - c) + 1)) AS h FROM c),
+p AS (SELECT seq_id, h FROM h WHERE substr(x, c - h + 1, 2 * h) = reverse(translate(substr(x, c - h + 1, 2 * h), 'ACGT', 'TGCA')))
+SELECT f.seq_id, count(p.h) FILTER (h >= 3) AS n6, count(p.h) FILTER (h >= 4) AS n8, count(p.h) FILTER (h >= 5) AS n10, coalesce(2 * max(h), 0) AS max_len FROM fx_catalog f LEFT JOIN p ON p.seq_id = f.seq_id GROUP BY f.seq_id""")
+def _(t):
+    return t.catalog.withColumn("pal", arrow.palindromes(S)).select("seq_id", "pal.*")
+
+
+@query("f18_dust", needs=("fx_catalog",), r="feat_dust", sql="""
+WITH s AS (SELECT seq_id, sequence AS x, length(sequence) AS n, least(64, length(sequence)) AS w FROM fx_catalog), i AS (SELECT *, unnest(range(1, n - w + 2)) AS i FROM s WHERE n >= 3),
+j AS (SELECT seq_id, w, i, substr(x, CAST(j AS BIGINT), 3) AS m FROM (SELECT *, unnest(range(i, i + w - 2)) AS j FROM i) q), c AS (SELECT seq_id, w, i, m, count(*) AS c FROM j WHERE NOT contains(m, 'N') GROUP BY ALL),
+d AS (SELECT seq_id, i, sum(c * (c - 1) / 2) / any_value(w) AS d FROM c GROUP BY seq_id, i)
+SELECT s.seq_id, coalesce(max(d), 0) AS feat_dust FROM s LEFT JOIN d ON d.seq_id = s.seq_id GROUP BY s.seq_id""")
+def _(t):
+    return t.catalog.select("seq_id", arrow.dust(S).alias("feat_dust"))
+
+
 @query("f11_homopolymers", needs=RC, sql="""
 WITH r AS (SELECT seq_id, list_transform(regexp_extract_all(sequence, 'A+|C+|G+|T+|N+'), lambda x: x) AS r FROM fx_read_catalog)
 SELECT seq_id, CAST(list_max([length(x) for x in r]) AS INTEGER) AS feat_run_max, CAST(len(r) AS INTEGER) AS feat_n_runs, {per}, {ge} FROM r""".format(
