@@ -9,6 +9,7 @@ from ..operators import kmers as km
 from ..operators import models as md
 from ..operators import tables as tb
 from .fixtures import FEATS
+from .q_kmers import SEG, SEG_SIZES
 from .registry import query
 
 U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967295.0::DOUBLE)"
@@ -94,18 +95,33 @@ def kmer_features(t):
     return k.select("seq_id", km.feature_name().alias("feature"), "x")
 
 
-VOCAB = [f"k1_{r}_{b}" for r in ("head30", "mid0", "tail30") for b in "ACGT"] + ["k2_head30_CG", "k2_tail30_GC"]
+VOCAB = [f"k1_{r}_{b}" for r in ("head30", "mid0", "tail30") for b in "ACGT"] + ["k2_head30_CG", "k2_tail30_GC", "k2_mid1_TA"]
 
 
-@query("i06_assemble_variants")
+VARIANTS = ("no_kmer", "no_kmer_noprimer", "kmer_only_all", "kmer_only_k2", "all", "all_noprimer")
+
+
+def variant_sql(v):
+    """One line: width of the vector, rows, mean of its sum; rows without any word count with the others."""
+    dense = [] if v.startswith("kmer_only") else [f for f in FEATS if not (v.endswith("noprimer") and f.startswith("feat_pr_"))]
+    words = [] if v.startswith("no_kmer") else [w for w in VOCAB if not v.startswith("kmer_only_k") or w.startswith(f"k{v[11:]}_")]
+    total = " + ".join([*(f"coalesce(CAST({f} AS DOUBLE), 0)" for f in dense), *(["coalesce(x, 0)"] if words else [])])
+    kv = f"(SELECT seq_id, sum(x) AS x FROM kw WHERE feature IN ({', '.join(map(repr, words or ['-']))}) GROUP BY seq_id)"
+    return f"SELECT '{v}' AS variant, CAST({len(dense) + len(words)} AS INTEGER) AS width, count(*) AS n, avg({total}) AS mean_sum FROM fx_training t JOIN fx_features f ON f.seq_id = t.seq_id LEFT JOIN {kv} k ON k.seq_id = t.seq_id"
+
+
+@query("i06_assemble_variants", needs=("fx_training", "fx_features", "fx_catalog"), r="mean_sum", digits=5, sql=f"""
+WITH kw AS (SELECT seq_id, 'k' || k || '_' || region || '_' || kmer AS feature, CAST(count(*) AS DOUBLE) AS x FROM (SELECT seq_id, region, k, unnest([substr(s, i, k) for i in range(1, length(s) - k + 2)]) AS kmer
+  FROM ({SEG.format(src='fx_catalog', mids=SEG_SIZES)}) g, (VALUES (1), (2)) v(k)) w WHERE kmer NOT LIKE '%N%' GROUP BY ALL)
+{" UNION ALL ".join(map(variant_sql, VARIANTS))}""")
 def _(t):
     d = t.training.join(t.features, "seq_id")
     from pyspark.ml.functions import vector_to_array
     out = None
-    for v in ("no_kmer", "no_kmer_noprimer", "kmer_only_all", "kmer_only_k2", "all", "all_noprimer"):
+    for v in VARIANTS:
         a = ds.assemble(d, FEATS, v, kmer_features(t), VOCAB).select(F.lit(v).alias("variant"), F.size(vector_to_array("features")).alias("width"),
                                                                     F.aggregate(vector_to_array("features"), F.lit(0.0), lambda x, y: x + y).alias("s"))
-        a = a.groupBy("variant", "width").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("s"), 6).alias("mean_sum"))
+        a = a.groupBy("variant", "width").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_sum"))
         out = a if out is None else out.unionByName(a)
     return out
 
