@@ -26,13 +26,16 @@ def features_long(training: DataFrame, features: list[str], keep: list[str] | No
 
 def weighted_corr(long: DataFrame, y: str = "log2fc") -> DataFrame:
     """Weighted Pearson per pair and feature from moments (one map-side combined groupBy); 0 without variance."""
-    w, x, yy = F.col("w"), F.col("x"), F.col(y)
-    m = long.groupBy("pair_id", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w_sum"), F.sum(w * yy).alias("_y"), F.sum(w * yy * yy).alias("_yy"),
-        F.sum(w * x).alias("_x"), F.sum(w * x * x).alias("_xx"), F.sum(w * x * yy).alias("_xy"))
+    m = long.groupBy("pair_id", "feature").agg(*_corr_moments(y))
     return m.select("pair_id", "feature", "n", "w_sum", _moment_corr("w_sum", "_x", "_xx", "_y", "_yy", "_xy").alias("pearson_corr"))
 
 
+def _corr_moments(y: str) -> list[Column]:
+    w, x, yy = F.col("w"), F.col("x"), F.col(y)
+    return [F.count(F.lit(1)).alias("n"), F.sum(w).alias("w_sum"), F.sum(w * yy).alias("_y"), F.sum(w * yy * yy).alias("_yy"),
+            F.sum(w * x).alias("_x"), F.sum(w * x * x).alias("_xx"), F.sum(w * x * yy).alias("_xy")]
+
+
 def _moment_corr(w, sx, sxx, sy, syy, sxy) -> Column:
     w, sx, sxx, sy, syy, sxy = (F.col(v) for v in (w, sx, sxx, sy, syy, sxy))
     mx, my = sx / w, sy / w
@@ -47,7 +50,7 @@ def _sign_cons(frac: Column) -> Column:
 def _corr_aggs():
     r = F.col("pearson_corr")
     return [F.count(r).alias("n_pairs_corr"), F.avg(F.abs(r)).alias("mean_abs_corr"), F.median(F.abs(r)).alias("median_abs_corr"),
-            (F.count(F.when(r > 0, 1)) / F.count(r)).alias("frac_pos_corr")]
+            F.try_divide(F.count(F.when(r > 0, 1)), F.count(r)).alias("frac_pos_corr")]
 
 
 def meta_corr(corr: DataFrame) -> DataFrame:
@@ -63,13 +66,20 @@ def top_features(meta: DataFrame, by: str = "stability_score", n: int = 200, min
 
 def weighted_shift(long: DataFrame, pairs: DataFrame, min_count: int = 1) -> DataFrame:
     """Weighted mean and population deviation of a feature on either side, difference and effect size."""
-    def side(cnt, p):
-        w = F.when(F.col(cnt) >= min_count, F.col(cnt).cast("double"))
-        return [F.sum(w).alias(f"w{p}"), F.sum(w * F.col("x")).alias(f"_s{p}"), F.sum(w * F.col("x") * F.col("x")).alias(f"_q{p}"), F.count(w).alias(f"n{p}_rows")]
+    m = long.groupBy("pair_id", "feature").agg(*_side_moments("count_yes", "y", min_count), *_side_moments("count_no", "n", min_count))
+    return _shift_columns(m.fillna(0.0, ["wy", "wn"]), pairs)
+
 
-    m = long.groupBy("pair_id", "feature").agg(*side("count_yes", "y"), *side("count_no", "n"))
-    m = m.withColumns({"wy": F.coalesce("wy", F.lit(0.0)), "wn": F.coalesce("wn", F.lit(0.0))})
-    return _shift_columns(m, pairs)
+def _side_moments(cnt: str, p: str, min_count: int) -> list[Column]:
+    w = F.when(F.col(cnt) >= min_count, F.col(cnt).cast("double"))
+    return [F.sum(w).alias(f"w{p}"), F.sum(w * F.col("x")).alias(f"_s{p}"), F.sum(w * F.col("x") * F.col("x")).alias(f"_q{p}"), F.count(w).alias(f"n{p}_rows")]
+
+
+def pair_statistics(long: DataFrame, y: str = "log2fc", min_count: int = 1) -> DataFrame:
+    """H02 and H05 together: the moments of both come from one scan and one groupBy."""
+    m = long.groupBy("pair_id", "feature").agg(*_corr_moments(y), *_side_moments("count_yes", "y", min_count), *_side_moments("count_no", "n", min_count))
+    m = m.withColumn("pearson_corr", _moment_corr("w_sum", "_x", "_xx", "_y", "_yy", "_xy")).drop("_x", "_xx", "_y", "_yy", "_xy")
+    return _shift_columns(m.fillna(0.0, ["wy", "wn"]), None)
 
 
 def _shift_columns(m: DataFrame, pairs: DataFrame | None) -> DataFrame:
@@ -87,7 +97,7 @@ def _shift_columns(m: DataFrame, pairs: DataFrame | None) -> DataFrame:
 def _shift_aggs():
     d, e = F.col("delta_yes_minus_no"), F.col("effect_d")
     return [F.count(d).alias("n_pairs_shift"), F.median(d).alias("median_delta"), F.avg(F.abs(d)).alias("mean_abs_delta"),
-            (F.count(F.when(d > 0, 1)) / F.count(d)).alias("frac_pos_delta"), F.median(F.abs(e)).alias("median_abs_effect_d")]
+            F.try_divide(F.count(F.when(d > 0, 1)), F.count(d)).alias("frac_pos_delta"), F.median(F.abs(e)).alias("median_abs_effect_d")]
 
 
 def meta_shift(shift: DataFrame) -> DataFrame:
@@ -106,22 +116,25 @@ def infer_delta(df: DataFrame) -> DataFrame:
     return df.withColumns({"delta_yes_minus_no": F.coalesce(*delta, none), "effect_d": F.coalesce(*eff, none)})
 
 
-def joint_rank(corr: DataFrame, shift: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Correlation and shift summaries per feature, overall and per locus, ranked by the stable joint score."""
-    loc = pairs.select("pair_id", "locus")
+def joint_rank(corr: DataFrame, shift: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """Correlation and shift summaries per feature, overall and per locus, ranked by the stable joint score.
+
+    Without ``shift`` the first table holds both (``pair_statistics``); two tables are summed up in one groupBy too.
+    """
+    none = F.lit(None).cast("double")
+    parts = ["pair_id", "feature", "pearson_corr", "delta_yes_minus_no", "effect_d"]
+    if shift is None:
+        both = infer_delta(corr).select(*parts)
+    else:
+        both = (corr.select("pair_id", "feature", "pearson_corr").withColumns({"delta_yes_minus_no": none, "effect_d": none})
+                .unionByName(infer_delta(shift).select("pair_id", "feature", none.alias("pearson_corr"), "delta_yes_minus_no", "effect_d")))
+    both = both.withColumns({"pearson_corr": finite("pearson_corr"), "effect_d": F.when(F.col("delta_yes_minus_no").isNotNull(), F.col("effect_d"))})
+    both = join_facts(both, pairs.select("pair_id", "locus"), "pair_id", "feature")
     sets = [["feature"], ["locus", "feature"]]
-    cols = [F.col("locus"), F.col("feature")]
-
-    def summary(df, aggs):
-        g = df.groupingSets([[F.col(x) for x in s] for s in sets], *cols).agg(*aggs, F.grouping("locus").alias("_g"))
-        return g.withColumn("group_type", F.when(F.col("_g") == 1, "ALL").otherwise("locus")).withColumn(
-            "group_value", F.coalesce("locus", F.lit("ALL"))).drop("_g", "locus")
-
-    cs = summary(corr.where(finite("pearson_corr").isNotNull()).select("pair_id", "feature", "pearson_corr").join(loc, "pair_id"), _corr_aggs())
-    sh = infer_delta(shift).where(F.col("delta_yes_minus_no").isNotNull())
-    ss = summary(sh.select("pair_id", "feature", "delta_yes_minus_no", "effect_d").join(loc, "pair_id"), _shift_aggs())
-    key = ["group_type", "group_value", "feature"]
-    j = cs.join(ss, key).withColumns({"sign_cons_corr": _sign_cons(F.col("frac_pos_corr")), "sign_cons_delta": _sign_cons(F.col("frac_pos_delta"))})
+    j = both.groupingSets([[F.col(x) for x in s] for s in sets], F.col("locus"), F.col("feature")).agg(*_corr_aggs(), *_shift_aggs(), F.grouping("locus").alias("_g"))
+    j = (j.where("n_pairs_corr > 0 AND n_pairs_shift > 0").withColumn("group_type", F.when(F.col("_g") == 1, "ALL").otherwise("locus"))
+         .withColumn("group_value", F.when(F.col("_g") == 1, "ALL").otherwise(F.coalesce("locus", F.lit("ALL")))).drop("_g", "locus"))
+    j = j.withColumns({"sign_cons_corr": _sign_cons(F.col("frac_pos_corr")), "sign_cons_delta": _sign_cons(F.col("frac_pos_delta"))})
     j = j.withColumns({"stability_corr": F.col("mean_abs_corr") * F.col("sign_cons_corr"), "joint_strength": F.col("mean_abs_corr") * F.col("mean_abs_delta"),
                        "joint_stable": F.col("mean_abs_corr") * F.col("sign_cons_corr") * F.col("mean_abs_delta") * F.col("sign_cons_delta")})
     w = Window.partitionBy("group_type", "group_value").orderBy(F.desc(F.round("joint_stable", 12)), "feature")

@@ -86,8 +86,7 @@ joint AS (SELECT *, mean_abs_corr * sign_cons_corr AS stability_corr, mean_abs_c
 
 
 def joint(t):
-    lg = long(t)
-    return st.joint_rank(st.weighted_corr(lg), st.weighted_shift(lg, t.pairs), t.pairs)
+    return st.joint_rank(st.pair_statistics(long(t)), None, t.pairs)
 
 
 @query("h07_joint_rank", needs=("fx_long", "fx_pairs"), r="mean_abs_corr median_abs_corr frac_pos_corr sign_cons_corr stability_corr median_delta mean_abs_delta frac_pos_delta "

@@ -124,3 +124,23 @@ def test_kmer_only_keeps_rows_without_words(spark):
         got = {r.seq_id: r.features for r in ds.assemble(df, [], variant, k, ["k2_head30_AC", "k2_tail30_GC"]).collect()}
         assert got["s1"].toArray().tolist() == [3.0, 0.0] and got["s2"].toArray().tolist() == [0.0, 0.0]
         assert got["s2"].numNonzeros() == 0
+
+
+def test_fused_statistics_equal_separate_ones(spark):
+    p = frame().rename(columns={"y": "log2fc", "g": "pair_id"})
+    p["feature"], p["count_yes"], p["count_no"], p["w"] = "f", np.arange(len(p)) % 7, np.arange(len(p)) % 5, 1.0 + np.arange(len(p)) % 3
+    long = spark.createDataFrame(p)
+    pairs = spark.createDataFrame([("a", "s", 1, "12S", "y", "n"), ("hot", "s", 1, "16S", "y", "n")], "pair_id string, species string, n_individuals int, locus string, yes_file_id string, no_file_id string")
+    one = st.joint_rank(st.pair_statistics(long), None, pairs).toPandas()
+    two = st.joint_rank(st.weighted_corr(long), st.weighted_shift(long, pairs), pairs).toPandas()
+    key = ["group_type", "group_value", "feature"]
+    pd.testing.assert_frame_equal(one.sort_values(key).reset_index(drop=True), two.sort_values(key).reset_index(drop=True))
+
+
+def test_join_facts_keeps_rows(spark):
+    from ampliskew.functions.joins import join_facts
+    rows = spark.range(1000).select((F.col("id") % 3).alias("s"), "id")
+    facts = spark.createDataFrame([(0, "a"), (1, "b")], "s long, v string")
+    got = {(r.id, r.v) for r in join_facts(rows, facts, "s", "id").collect()}
+    assert got == {(i, "ab"[i % 3]) for i in range(1000) if i % 3 < 2}
+    assert join_facts(rows, facts, "s", "id", "left").count() == 1000
