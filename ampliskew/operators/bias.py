@@ -263,8 +263,8 @@ def change_counts(shift: DataFrame) -> DataFrame:
 
 def case_candidates(df: DataFrame, top: int = 20, main: str = "rel_ge_0.005") -> DataFrame:
     """Highest and lowest log2 bias at the main rule (all rules when it is absent) as one table with ``case``."""
-    has_main = df.where(F.col("threshold_label") == main).limit(1).count() > 0
-    m = df.where(F.col("threshold_label") == main) if has_main else df
+    present = df.agg(F.max(F.col("threshold_label") == main).alias("present")).scalar()   # part of the plan, no job here
+    m = df.where(~F.coalesce(present, F.lit(False)) | (F.col("threshold_label") == main))
     key = ["sample_id", "species_label", "threshold_label"]
     hi = m.orderBy(F.desc_nulls_last("log2_bias_ratio"), *key).limit(top).withColumn("case", F.lit("high"))
     lo = m.orderBy(F.asc_nulls_last("log2_bias_ratio"), *key).limit(top).withColumn("case", F.lit("low"))

@@ -2,6 +2,8 @@
 
 import gzip
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ampliskew.operators import abundance as ab
@@ -17,7 +19,9 @@ def test_fastq_smoke(spark, tmp_path):
     (tmp_path / "H12.fastq").write_text("".join(record(f"r{i}", s) for i, s in enumerate(["ACGTACGTACGT", "acgtacgtacgt", "ACGTACGTTCGT"])))
     with gzip.open(tmp_path / "H16.fq.gz", "wt") as f:
         f.write("".join(record(f"r{i}", s) for i, s in enumerate(["TTTTCCCCAAAA", "TTTTCCCCAAAA", "GGGGAAAACCCC"])) + "@broken\nACG\n")
-    reads = fastq.read_fastq(spark, str(tmp_path))
+    with pytest.raises(Exception, match="truncated FASTQ record"):
+        fastq.read_fastq(spark, str(tmp_path)).count()
+    reads = fastq.read_fastq(spark, str(tmp_path), strict=False)
     d = ab.dereplicate(reads).groupBy("sample_id").agg(F.sum("count").alias("n"), F.count("*").alias("u")).orderBy("sample_id").collect()
     assert [(r.sample_id, r.n, r.u) for r in d] == [("H12", 3, 2), ("H16", 3, 2)]
     assert fastq.read_fastq(spark, str(tmp_path / "H12.fastq"), max_reads=2).count() == 2
