@@ -195,7 +195,7 @@ def _(t):
     return t.read_catalog.select("seq_id", sq.alternating_max(S).alias("v"))
 
 
-@query("f19_f20_kmer_summaries", needs=RC, digits=5, r=" ".join(f"{f}_{k}" for f in ("entropy", "gini", "top10cov", "lingcomp") for k in range(1, 9)), sql="""
+@query("f19_f20_kmer_summaries", needs=RC, digits=6, nudge=1e-9, r=" ".join(f"{f}_{k}" for f in ("entropy", "gini", "top10cov", "lingcomp") for k in range(1, 9)), sql="""
 WITH w AS (SELECT seq_id, k, length(sequence) AS n, unnest([substr(sequence, i, k) for i in range(1, length(sequence) - k + 2)]) AS kmer FROM fx_read_catalog, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) v(k)),
 c AS (SELECT seq_id, k, n, kmer, count(*) AS c FROM w WHERE kmer NOT LIKE '%N%' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k ORDER BY c, kmer) AS i, row_number() OVER (PARTITION BY seq_id, k ORDER BY c DESC, kmer) AS j,
