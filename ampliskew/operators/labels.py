@@ -43,10 +43,12 @@ def annotation_candidates(ab: DataFrame, min_count: int = 100, min_rel: float =
     """Sequences worth annotating: total >= min_count OR share >= min_rel (a zero share bound keeps everything).
 
     Most frequent sample and group come from pre-counted (sequence, value) rows, so no list of a hot sequence is formed.
+    Rows are grouped by id; the text is attached at the end.
     """
     if core_only:
         ab = ab.where(F.lower("is_core_analysis") == "yes")
-    key = (["marker"] if per_marker else []) + ["seq_id", "sequence"]
+    key = (["marker"] if per_marker else []) + ["seq_id"]
+    text = ab.groupBy("seq_id").agg(F.first("sequence").alias("sequence"))   # the only shuffle of sequence text
     g = ab.groupBy(*key).agg(F.sum("count").alias("total_count"), F.countDistinct("sample_id").alias("n_samples"), F.max("relative_abundance").alias("max_rel_abundance"))
     g = g.where((F.col("total_count") >= min_count) | (F.col("max_rel_abundance") >= min_rel))
 
@@ -56,7 +58,8 @@ def annotation_candidates(ab: DataFrame, min_count: int = 100, min_rel: float =
 
     seen = "sample_type" if per_marker else "marker"
     lists = ab.select(*key, seen).distinct().groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(seen)), ",").alias("sample_types" if per_marker else "markers_seen"))
-    out = g.join(mode("sample_id", "top_sample"), key).join(mode("group_name", "top_group"), key).join(lists, key)
+    out = g.join(mode("sample_id", "top_sample"), key).join(mode("group_name", "top_group"), key).join(lists, key).join(text, "seq_id")
+    out = out.select(*key, "sequence", *[x for x in out.columns if x not in (*key, "sequence")])
     return out if per_marker else out.withColumns({"species_label": F.lit(""), "annotation_status": F.lit("pending"), "is_target_candidate": F.lit("")})
 
 

@@ -276,7 +276,7 @@ def _(t):
     return bias.case_candidates(log_bias(t), main="rel_ge_0.0003")
 
 
-@query("e25_marker_discordant", needs=NEED, r="bias_12S bias_16S marker_gap_abs", sql=f"""
+@query("e25_marker_discordant", needs=NEED, r="bias_12S bias_16S marker_gap_abs", nudge=1e-9, sql=f"""
 WITH {RN}, {LB}, p AS (SELECT group_name, species_label, avg(CASE WHEN marker = '12S' THEN log2_bias_ratio END) AS "bias_12S",
   avg(CASE WHEN marker = '16S' THEN log2_bias_ratio END) AS "bias_16S" FROM lb WHERE threshold_label = 'rel_ge_0.0003' GROUP BY 1, 2)
 SELECT *, abs("bias_12S" - "bias_16S") AS marker_gap_abs FROM p ORDER BY marker_gap_abs DESC NULLS LAST, group_name, species_label LIMIT 20""")

@@ -523,7 +523,7 @@ def _(t):
     return tb.calibration(t.predictions, ["locus", "model", "variant"], 10)
 
 
-@query("j25_residual_quantiles", needs=PRED, r="resid_q01 resid_q05 resid_q50 resid_q95 resid_q99", sql=f"""
+@query("j25_residual_quantiles", needs=PRED, nudge=1e-9, r="resid_q01 resid_q05 resid_q50 resid_q95 resid_q99", sql=f"""
 SELECT {GS}, count(*) AS n, {', '.join(f'quantile_cont(y_pred - y_true, {p}) AS resid_q{n}' for n, p in (('01', 0.01), ('05', 0.05), ('50', 0.5), ('95', 0.95), ('99', 0.99)))} FROM fx_predictions GROUP BY {GS}""")
 def _(t):
     return tb.residual_quantiles(t.predictions, G)
