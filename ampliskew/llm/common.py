@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,17 +17,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 4 << 20
 
 
+@lru_cache(1)
+def own_dir() -> str:
+    return Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Only where that is unset and the master is local (tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = own_dir()
+    if "://" not in base and not base.startswith("file:"):
+        base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
