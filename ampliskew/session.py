@@ -29,9 +29,16 @@ def build_session(master: str | None = None, app: str = "ampliskew", **conf) ->
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Marks rows that an operator reads several times.
+    """Cuts the lineage of rows that an operator reads several times.
 
-    Nothing runs while the plan is built: the first action fills the store, and blocks of lost executors are computed
-    again from their lineage. No folder is needed.
+    With a folder named in ``spark.checkpoint.dir`` they are checkpointed there, which runs when the operator is called:
+    resamples read themselves several times over, and uncut their plans would multiply. Without one they are persisted;
+    no folder is ever invented.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = df.sparkSession.sparkContext
+    named = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
