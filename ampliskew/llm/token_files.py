@@ -27,26 +27,60 @@ HEAD = "<8sqqqq"  # magic, documents, ids, ids before the block, bytes of data
 NO_ID = -(2**63)
 #: Marks the key of a text's first word; no other key has a tabulator.
 FIRST = "\t"
+#: Latin letters with signs behind them: exactly two pieces of the pre-tokenizer (one without signs).
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+@lru_cache(1)
+def byte_letters() -> dict[int, str]:
+    """Byte-level spelling of the letters of PLAIN beyond ASCII: printable bytes stand for themselves, others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spell = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {c: "".join(spell[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+
 
 class ByteEncoder:
     """Token ids of texts, as the tokenizers library gives them for the whole text.
 
     Its pre-tokenizer never joins a blank or line break to what stands before it, so in texts with single blanks and
-    line breaks each word, with its blank, is encoded for itself and kept in a bounded cache. Texts with other white
-    space, or with strings that may be special tokens, go through the tokenizer whole.
+    line breaks each word, with its blank, is encoded for itself and kept in a bounded cache. Words of Latin letters and
+    signs behind them go piece by piece to the library's model; other words through the whole tokenizer. Texts with other
+    white space, or with strings that may be special tokens, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.newline = self.lib.encode("\n", add_special_tokens=False).ids
+        self.signs: dict[str, list[int]] = {"": []}
         self.cache = ChunkCache(self._fresh)
 
     def _fresh(self, keys: list[str]) -> list[list[int]]:
         """Keys are a word behind a blank, a line break and the first word of a line, or FIRST and the first word of a text."""
-        words = [k[1:] if k[:1] in "\n\t" else " " + k for k in keys]
-        return [self.newline + e.ids if k[:1] == "\n" else e.ids for k, e in zip(keys, self.lib.encode_batch_fast(words, add_special_tokens=False))]
+        model, signs, letters, out, odd = self.model.tokenize, self.signs, byte_letters(), [], []
+        for k in keys:
+            head = k[0] in "\n\t"
+            plain = PLAIN.fullmatch(k, head)
+            if not plain:
+                odd.append(len(out))
+                out.append(k[1:] if head else " " + k)
+                continue
+            word, tail = plain.groups()
+            if not word.isascii():
+                word = word.translate(letters)
+            ids = [t.id for t in model(word if head else "\u0120" + word)]
+            if tail:
+                if tail not in signs:
+                    signs[tail] = [t.id for t in model(tail)]
+                    if len(signs) > 100_000:
+                        self.signs = signs = {"": [], tail: signs[tail]}
+                ids += signs[tail]
+            out.append(self.newline + ids if k[0] == "\n" else ids)
+        for i, e in zip(odd, self.lib.encode_batch_fast([out[i] for i in odd], add_special_tokens=False)):
+            out[i] = self.newline + e.ids if keys[i][0] == "\n" else e.ids
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end_id`` behind it, in one array, and their ends."""
@@ -59,17 +93,13 @@ class ByteEncoder:
     def _keys(text: str) -> list[str] | None:
         if not text:
             return []
-        first, *lines = text.split("\n")
-        for line in (first, *lines):
-            # printable excludes all white space but the blank
-            if not line or not line.isprintable() or "  " in line or line[0] == " " or line[-1] == " " or "<|" in line:
-                return None
-        head, *keys = first.split(" ")
-        keys.insert(0, FIRST + head)
-        for line in lines:
-            head, *words = line.split(" ")
-            keys.append("\n" + head)
-            keys += words
+        # printable excludes all white space but the blank
+        if "<|" in text or not text.replace("\n", "").isprintable():
+            return None
+        keys = text.replace("\n", " \n").split(" ")
+        if "" in keys or "\n" in keys:  # blanks or line breaks that don't stand alone between words
+            return None
+        keys[0] = FIRST + keys[0]
         return keys
 
 
