@@ -7,7 +7,9 @@ import uuid
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +93,45 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
 
 def build(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def whole_groups(batches, *names: str):
+    """Batches that hold whole groups, from batches sorted by the columns ``names``, and the cuts between their groups.
+
+    Only a group that goes on in the next batch is held back.
+    """
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        if held and any(held[-1].column(n)[-1].as_py() != b.column(n)[0].as_py() for n in names):
+            yield one_group(held)
+            held = []
+        last = starts_of(b, names)[-1]
+        if last and held:
+            first = starts_of(b, names)[1]
+            yield one_group([*held, b.slice(0, first)])
+            b, last, held = b.slice(first), last - first, []
+        if last:
+            done = b.slice(0, last)
+            yield done, [*starts_of(done, names), last]
+        held.append(b.slice(last))
+    if held:
+        yield one_group(held)
+
+
+def one_group(parts: list[pa.RecordBatch]):
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0] if len(parts) > 1 else parts[0]
+    return whole, [0, whole.num_rows]
+
+
+def starts_of(b: pa.RecordBatch, names) -> list[int]:
+    """Where the groups of a sorted batch start; nulls are a group."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for n in names:
+        x = b.column(n)
+        a, z = x.slice(0, len(x) - 1), x.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, z), False), pc.xor(pc.is_null(a), pc.is_null(z)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
