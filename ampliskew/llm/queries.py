@@ -16,6 +16,7 @@ from .lines import OP8_SQL, drop_lines
 from .pieces import piece_digests, piece_tokens
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .spelling import OP11_SQL, spelling_variants
 from .token_files import read_token_files, token_digests, token_files
 from .urls import OP2_SQL, RULES, SPAM, host_of, judge_urls
 from .warc import OP9_SQL, read_archives, write_archives
@@ -90,3 +91,8 @@ def op9_warc(spark, sf_dir):
 def op10_token_files(spark, sf_dir):
     folder = token_files(table(spark, sf_dir, "documents"), BYTES)
     return token_digests(read_token_files(spark, folder))
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"), one_in=199)
