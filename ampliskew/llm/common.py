@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes handled at once inside a task.
 SLICE_BYTES = 4 << 20
+#: CTE with the 256 steps of CRC-32 for SQL checks, and the sum itself over the hex digits in column ``x``.
+CRC_SQL = "crc_bits AS (SELECT list(c ORDER BY b) AS steps FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(b)))"
+
+
+def crc_sql(x: str) -> str:
+    octets = f"list_transform(range(length({x}) // 2), lambda i: CAST('0x' || substring({x}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])))"
 
 
 @lru_cache(1)

@@ -13,6 +13,7 @@ from .contamination import OP4_SQL, contamination
 from .html_text import extract_text
 from .licenses import DOC_PATH, OP5_SQL, scan_licenses
 from .lines import OP8_SQL, drop_lines
+from .merkle import OP13_SQL, manifest
 from .pieces import piece_digests, piece_tokens
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -96,3 +97,8 @@ def op10_token_files(spark, sf_dir):
 @query("op11_spelling_variants", OP11_SQL)
 def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"), one_in=199)
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest(table(spark, sf_dir, "documents"))[0]

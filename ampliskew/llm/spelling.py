@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import build, col, slices, whole_groups, written
+from .common import CRC_SQL, build, col, crc_sql, slices, whole_groups, written
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Distinct words that a task counts before it hands them on.
@@ -202,17 +202,16 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return full.join(roots, F.col("word") == F.col("_word"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-OP11_SQL = """
-WITH RECURSIVE crc_bits AS (SELECT list(c ORDER BY b) AS steps FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(b))),
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
 runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL),
 hexed AS (SELECT run, n, length(run) AS len, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
-summed AS (SELECT run, n, len, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substring(x, 2 * i + 1, 2) AS BIGINT))),
-    lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))) AS h FROM hexed, crc_bits),
+summed AS (SELECT run, n, len, {crc_sql('x')} AS h FROM hexed, crc_bits),
 words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
     SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % len AS BIGINT)) || substring(run, CAST(h % len AS BIGINT) + 2) ELSE run END AS word, n FROM summed)
   WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
-spelt AS (SELECT word, n, length(word) AS len, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}~') AS w FROM words),
+spelt AS (SELECT word, n, length(word) AS len, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_`|~') AS w FROM words),
 pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM spelt a JOIN spelt b ON left(a.w, 3) = left(b.w, 3) AND abs(a.len - b.len) <= 1 AND levenshtein(a.w, b.w) = 1
   UNION SELECT a.word, a.n, b.word, b.n FROM spelt a JOIN spelt b ON right(a.w, 3) = right(b.w, 3) AND abs(a.len - b.len) <= 1 AND levenshtein(a.w, b.w) = 1),
 best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
