@@ -14,6 +14,7 @@ from .html_text import extract_text
 from .licenses import DOC_PATH, OP5_SQL, scan_licenses
 from .lines import OP8_SQL, drop_lines
 from .merkle import OP13_SQL, manifest
+from .ngram_join import OP12_SQL, ngram_join
 from .pieces import piece_digests, piece_tokens
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -99,6 +100,11 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"), one_in=199)
 
 
+@query("op12_ngram_join", OP12_SQL)
+def op12_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query("op13_merkle_manifest", OP13_SQL)
 def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))[0]

@@ -150,7 +150,7 @@ def test_contamination(spark, docs):
         contamination.BROADCAST_WINDOWS = limit
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op4_decontamination", "op5_license_scan", "op8_line_dedup", "op9_warc", "op11_spelling_variants", "op13_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op4_decontamination", "op5_license_scan", "op8_line_dedup", "op9_warc", "op11_spelling_variants", "op12_ngram_join", "op13_merkle_manifest"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
