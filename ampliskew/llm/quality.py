@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import col, fresh, slices, written
 
@@ -39,15 +40,16 @@ def rule_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 def with_statistics(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     """``docs`` with the five statistics under ``names``; nothing is shuffled."""
     text = docs.columns.index(text_col)
-    wide = docs.schema.simpleString()[len("struct<"):-1]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    wide = StructType([*plain.schema.fields, *(StructField(f"s{i}", LongType()) for i in range(len(names)))])
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, text):
                 got = np.asarray([rule_statistics(t) for t in b.column(text).to_pylist()], "i8").reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in got.T.copy())], [*b.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in got.T.copy())], wide.names)
 
-    return docs.mapInArrow(run, f"{wide}, {', '.join(f'{n} long' for n in names)}")
+    return plain.mapInArrow(run, wide).toDF(*docs.columns, *names)
 
 
 def shares(stats: np.ndarray) -> np.ndarray:
@@ -136,18 +138,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     with a null id are judged but never labelled. Without labels of both kinds the forest rejects nothing; an empty
     table gives an empty one. Added columns take other names where ``docs`` has theirs (``fresh``).
     """
-    src = docs if passing else docs.select(id_col, text_col)
+    src = docs if passing else docs.select(col(id_col), col(text_col))
     names = fresh(src, *STATS, "base_failed", "score", "kept")
     stat, (failed, score, kept) = names[:5], names[5:]
     df = with_statistics(src, text_col, stat)
     if not passing:
-        df = df.drop(text_col)
+        df = df.drop(col(text_col))
     n, rep = col(stat[0]), col(stat[4])
     df = written(df.withColumn(failed, (n < 50) | (100 * rep > 50 * n)), "rule-statistics")
-    truth = labels.where("quality is not null").groupBy(F.col(id_col).alias("_labelled")).agg(F.min("quality").alias("_quality"))
-    known = df.where(~col(failed)).select(id_col, *stat).join(truth, col(id_col) == F.col("_labelled")).select(*stat, F.when(F.col("_quality") > 0, 1).otherwise(0).alias("good"))
+    truth = labels.where("quality is not null").groupBy(col(id_col).alias("_labelled")).agg(F.min("quality").alias("_quality"))
+    known = df.where(~col(failed)).select(col(id_col), *map(col, stat)).join(truth, col(id_col) == F.col("_labelled")).select(*map(col, stat), F.when(F.col("_quality") > 0, 1).otherwise(0).alias("good"))
     order = F.xxhash64(F.lit(seed), *map(col, stat))
-    first = lambda good, most: known.where(F.col("good") == good).select(*stat).orderBy(order, *map(col, stat)).limit(most).collect()
+    first = lambda good, most: known.where(F.col("good") == good).select(*map(col, stat)).orderBy(order, *map(col, stat)).limit(most).collect()
     rows = first(1, sample)
     rows += first(0, max(1, int(bad_share * len(rows))))
     forest = IsolationForest.fit(shares(np.asarray(rows, "i8").reshape(-1, 5)), trees, subsample, seed) if rows else None

@@ -125,6 +125,9 @@ def test_quality_rules(spark, docs):
     assert sum(g.base_failed for g in got) == 4
     passed = quality.quality_rules(df, labels, passing=True)
     assert passed.columns[:len(df.columns)] == df.columns and len(set(map(str.lower, passed.columns))) == len(passed.columns)
+    odd = df.withColumns({"my col": F.lit(1), "a.b": F.lit("x"), "c,d": F.array(F.lit(1))}).withColumnRenamed("doc_id", "doc.id")
+    again = quality.quality_rules(odd, labels.withColumnRenamed("doc_id", "doc.id"), id_col="doc.id", passing=True)
+    assert sorted(again.select(again.columns[-1]).collect()) == sorted(passed.select(passed.columns[-1]).collect()) and again.columns[:len(odd.columns)] == odd.columns
     none = quality.quality_rules(df, labels.limit(0)).collect()
     assert all(g.kept != g.base_failed for g in none)
     assert quality.quality_rules(df.limit(0), labels).count() == 0
