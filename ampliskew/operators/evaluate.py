@@ -1,14 +1,18 @@
-"""Regression metrics, resampling, permutation null (J04-J09, J27). Resamples are relational: draws, join, groupBy."""
+"""Regression metrics, resampling, permutation null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.cols import ratio
-from ..functions.ranks import cumulate, ordered_positions
+from ..functions.joins import join_facts
+from ..functions.ranks import average_ranks, cumulate, value_histogram
 from ..session import keep
-from .dataset import stable_u01
 
 
 def regression_metrics(pred: DataFrame, keys: list[str], mult: str | None = None, zero_is_positive: bool = True) -> DataFrame:
@@ -48,16 +52,115 @@ def pair_spearman(pred: DataFrame, keys: list[str], min_n: int = 30) -> DataFram
     return pair_metrics(pred, keys, min_n).groupBy(*keys).agg(F.avg("spearman").alias("pair_spearman_mean"), F.count(F.lit(1)).alias("pair_spearman_n"))
 
 
-def _draw(index: Column, b: Column, n: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), b, index), n) + 1
-
-
-def _resample(units: DataFrame, keys: list[str], B: int, seed: int) -> DataFrame:
-    """``units``: keys, _pos 1..n. Returns keys, b, _pos, _m: how often each unit is drawn in replicate b (0 is left out)."""
-    n = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = units.select(*keys, F.col("_pos").alias("_i")).join(n, keys).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
-    return (d.select(*keys, "b", _draw(F.concat_ws("|", *keys, "_i"), F.col("b"), F.col("_n"), seed).alias("_pos"))
-            .groupBy(*keys, "b", "_pos").agg(F.count(F.lit(1)).alias("_m")))
+#: Replicates of one task, and those whose weights it holds at once.
+REPLICATES, HELD = 250, 25
+#: Distinct (y, p) points of a group up to which they are kept as they are; beyond it both are cut into STEPS ranks.
+CELLS, STEPS = 1 << 20, 1 << 10
+#: Rows of a pair that one task permutes; more are dealt to several by hash.
+PERMUTED_ROWS = 1 << 20
+
+
+def _rng(*seed) -> np.random.Generator:
+    """A counter-based generator keyed by the MD5 of ``seed``, so that replicates don't depend on partitions or retries."""
+    return np.random.Generator(np.random.Philox(key=int(md5("|".join(map(str, seed)).encode()).hexdigest(), 16)))
+
+
+def _weighted_ranks(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Average ranks of ``values`` in each replicate, where row i occurs ``weights[b, i]`` times: from cumulated histograms."""
+    order = np.argsort(values, kind="stable")
+    new = np.diff(values[order], prepend=np.nan) != 0
+    n = np.add.reduceat(weights[:, order], np.flatnonzero(new), axis=1)
+    code = np.empty(len(values), "i8")
+    code[order] = np.cumsum(new) - 1
+    return (np.cumsum(n, axis=1) - (n - 1) / 2.0)[:, code]
+
+
+def _weighted_corr(w, x, y, n):
+    mx, my = ((w * v).sum(1) / n for v in (x, y))
+    vx, vy = (w * x * x).sum(1) / n - mx * mx, (w * y * y).sum(1) / n - my * my
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((vx > 1e-12) & (vy > 1e-12), ((w * x * y).sum(1) / n - mx * my) / np.sqrt(vx * vy), np.nan)
+
+
+def _points(pred: DataFrame, keys: list[str], unit: str | None) -> DataFrame:
+    """keys, u, y, p, c and sums (y, yy, squared and absolute error) of the distinct points of each group.
+
+    Groups with more than CELLS points are cut: y and p give way to ranks of STEPS steps, for the order alone;
+    the sums stay exact and no row is left out.
+    """
+    y, p = F.col("y"), F.col("p")
+    d = pred.select(*keys, (F.col(unit) if unit else F.lit(0)).cast("string").alias("u"), F.col("y_true").cast("double").alias("y"), F.col("y_pred").cast("double").alias("p"))
+    d = d.dropna(subset=["y", "p"])
+    sums = [F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"), F.sum(y * y).alias("syy"), F.sum((y - p) * (y - p)).alias("sse"), F.sum(F.abs(y - p)).alias("sae")]
+    points = keep(d.groupBy(*keys, "u", "y", "p").agg(F.count(F.lit(1)).alias("c")))
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.sum("c").alias("_t"))
+    c, e = F.col("c"), y - p
+    exact = points.select(*keys, "u", "y", "p", "c", (c * y).alias("sy"), (c * y * y).alias("syy"), (c * e * e).alias("sse"), (c * F.abs(e)).alias("sae"))
+    big = n.where(F.col("_m") > CELLS)
+    if not big.limit(1).count():
+        return exact
+    big = keep(big)
+    cut = points.join(F.broadcast(big), keys)
+    for v in ("y", "p"):
+        h = cumulate(points.join(F.broadcast(big), keys).groupBy(*keys, v).agg(F.sum("c").alias("_n"), F.max("_t").alias("_t")), keys, [v])
+        h = h.select(*keys, v, F.floor((F.col("_below") + F.col("_n") / 2) * STEPS / F.col("_t")).cast("double").alias(f"_{v}"))
+        cut = cut.join(h, [*keys, v])
+    cut = cut.groupBy(*keys, "u", F.col("_y").alias("y"), F.col("_p").alias("p")).agg(F.sum("c").alias("c"), F.sum(c * y).alias("sy"), F.sum(c * y * y).alias("syy"), F.sum(c * e * e).alias("sse"), F.sum(c * F.abs(e)).alias("sae"))
+    return exact.join(F.broadcast(big.select(*keys)), keys, "left_anti").unionByName(cut)
+
+
+def _replicates(points: DataFrame, keys: list[str], B: int, seed: int, weights) -> DataFrame:
+    """keys, b, r2, rmse, mae, spearman of B replicates of each group's ``points``.
+
+    A point goes once to each task of REPLICATES replicates of its group and is never repeated by replicate: in there a
+    replicate is a row of weights, ``weights(rng, u, c, replicates)``, moments are products with the points' sums, and
+    ranks come from the cumulated weights of the values.
+    """
+    dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-B // REPLICATES) - 1))))
+    shape = points.select(*keys).schema
+
+    def run(key, group):
+        own = [k.as_py() for k in key]
+        g = group.select(["u", "y", "p", "c", "sy", "syy", "sse", "sae"]).sort_by([("u", "ascending"), ("y", "ascending"), ("p", "ascending")])
+        u, (y, p, c, *sums) = np.unique(g.column("u").to_numpy(), return_inverse=True)[1], (g.column(i).to_numpy() for i in range(1, 8))
+        sums = np.stack(sums, 1) / c[:, None]  # of one row
+        rng, first = _rng(seed, *own), own[-1] * REPLICATES
+        out = []
+        for a in range(first, min(first + REPLICATES, B), HELD):
+            w = weights(rng, u, c, min(HELD, first + REPLICATES - a, B - a)).astype("f8")
+            n = w.sum(1)
+            sy, syy, sse, sae = (w @ sums).T
+            vy = syy - sy * sy / n
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r2 = np.where(vy > 0, 1 - sse / vy, np.nan)
+            rho = _weighted_corr(w, _weighted_ranks(w, y), _weighted_ranks(w, p), n)
+            out.append(np.stack([r2, np.sqrt(sse / n), sae / n, rho], 1))
+        got = np.concatenate(out)
+        columns = {k: pa.array([v] * len(got)) for k, v in zip(keys, own)} | {"b": pa.array(np.arange(first + 1, first + 1 + len(got)))}
+        return pa.table(columns | {m: pa.array(got[:, i], mask=np.isnan(got[:, i])) for i, m in enumerate(("r2", "rmse", "mae", "spearman"))})
+
+    return dealt.groupBy(*keys, "block").applyInArrow(run, StructType([*shape.fields, *StructType.fromDDL("b long, r2 double, rmse double, mae double, spearman double").fields]))
+
+
+def _drawn_rows(rng, u, c, replicates):
+    """As many rows as each stratum ``u`` has, drawn with replacement: how often each point comes."""
+    out = np.empty((replicates, len(c)), "i8")
+    for s in range(int(u.max()) + 1):
+        at = np.flatnonzero(u == s)
+        n = int(c[at].sum())
+        if n == len(at):
+            draws = rng.integers(0, n, (replicates, n)) + n * np.arange(replicates)[:, None]
+            out[:, at] = np.bincount(draws.ravel(), minlength=replicates * n).reshape(replicates, n)
+        else:
+            out[:, at] = rng.multinomial(n, c[at] / n, replicates)
+    return out
+
+
+def _drawn_units(rng, u, c, replicates):
+    """As many units ``u`` as there are, drawn with replacement, each with all its rows."""
+    k = int(u.max()) + 1
+    draws = rng.integers(0, k, (replicates, k)) + k * np.arange(replicates)[:, None]
+    return np.bincount(draws.ravel(), minlength=replicates * k).reshape(replicates, k)[:, u] * c
 
 
 def _summary(m: DataFrame, keys: list[str], B: int, cols=("r2", "rmse", "mae", "spearman")) -> DataFrame:
@@ -71,40 +174,34 @@ def _summary(m: DataFrame, keys: list[str], B: int, cols=("r2", "rmse", "mae", "
     return m.groupBy(*keys).agg(*aggs)
 
 
-def bootstrap_rows(pred: DataFrame, keys: list[str], B: int = 5000, seed: int = 1, row: str = "row_id") -> DataFrame:
+def bootstrap_rows(pred: DataFrame, keys: list[str], B: int = 5000, seed: int = 1) -> DataFrame:
     """Rows drawn with replacement inside each group."""
-    p = pred.select(*keys, row, "y_true", "y_pred").withColumn("_u", stable_u01(row))
-    p = keep(ordered_positions(p, keys, "_u", row, "_pos").drop("_u"))
-    s = keep(p.join(_resample(p, keys, B, seed), [*keys, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
-    return _summary(regression_metrics(s, [*keys, "b"], "_m"), keys, B)
+    return _summary(_replicates(_points(pred, keys, None), keys, B, seed, _drawn_rows), keys, B)
 
 
 def bootstrap_pairs(pred: DataFrame, keys: list[str], B: int = 1000, seed: int = 1, small: int = 200, tiny: int = 50, few_pairs: int = 5) -> DataFrame:
     """Whole pairs drawn with replacement; flags for small groups."""
     pred = keep(pred.select(*keys, "pair_id", "y_true", "y_pred"))
-    u = pred.select(*keys, "pair_id").distinct()
-    u = ordered_positions(u.withColumn("_u", stable_u01("pair_id")), keys, "_u", "pair_id", "_pos").drop("_u")
-    draws = u.join(_resample(u, keys, B, seed), [*keys, "_pos"]).select(*keys, "pair_id", "b", "_m")
-    out = _summary(regression_metrics(pred.join(draws, [*keys, "pair_id"]), [*keys, "b"], "_m"), keys, B)
+    out = _summary(_replicates(_points(pred, keys, "pair_id"), keys, B, seed, _drawn_units), keys, B)
     size = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.countDistinct("pair_id").alias("n_pairs"))
     flag = lambda c: c.cast("int")
     return out.join(size, keys).withColumns({"flag_small_test": flag(F.col("n_test") < small), "flag_tiny_test": flag(F.col("n_test") < tiny), "flag_few_pairs": flag(F.col("n_pairs") < few_pairs)})
 
 
-def bootstrap_stratified(pred: DataFrame, keys: list[str], B: int = 1000, seed: int = 1, max_bins: int = 8, row: str = "row_id") -> DataFrame:
-    """Rows drawn inside quantile bins of y; round(sqrt n) bins, 2..max, at most 3 below 20 rows."""
-    from ..functions.ranks import value_histogram
-    pred = keep(pred.select(*keys, row, "y_true", "y_pred"))
+def y_bins(pred: DataFrame, keys: list[str], max_bins: int = 8) -> DataFrame:
+    """Rows with ``_bin``, their quantile bin of y: round(sqrt n) bins, 2..max, at most 3 below 20 rows; equal values share one."""
     h = value_histogram(pred, keys, "y_true")
     n = h.groupBy(*keys).agg(F.sum("_n").alias("_t"))
     k = F.greatest(F.lit(2), F.least(F.lit(max_bins), F.rint(F.sqrt("_t")).cast("int")))
     k = F.when(F.col("_t") < 20, F.least(k, F.lit(3))).otherwise(k)
     bins = h.join(n, keys).select(*keys, "y_true", F.least(F.floor(F.col("_below") * k / F.col("_t")), k - 1).cast("int").alias("_bin"))
-    p = pred.join(bins, [*keys, "y_true"])
-    g = [*keys, "_bin"]
-    p = keep(ordered_positions(p.withColumn("_u", stable_u01(row)), g, "_u", row, "_pos").drop("_u"))
-    s = keep(p.join(_resample(p, g, B, seed), [*g, "_pos"]).select(*keys, "b", "y_true", "y_pred", "_m"))
-    return _summary(regression_metrics(s, [*keys, "b"], "_m"), keys, B, ("rmse", "spearman"))
+    return pred.join(bins, [*keys, "y_true"])
+
+
+def bootstrap_stratified(pred: DataFrame, keys: list[str], B: int = 1000, seed: int = 1, max_bins: int = 8) -> DataFrame:
+    """Rows drawn inside quantile bins of y."""
+    pred = keep(pred.select(*keys, "y_true", "y_pred"))
+    return _summary(_replicates(_points(y_bins(pred, keys, max_bins), keys, "_bin"), keys, B, seed, _drawn_rows), keys, B, ("rmse", "spearman"))
 
 
 def merge_ci(master: DataFrame, ci: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,12 +211,30 @@ def merge_ci(master: DataFrame, ci: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def permutation_null(pred: DataFrame, keys: list[str], B: int = 200, seed: int = 1, row: str = "row_id", within: str | None = "pair_id") -> DataFrame:
-    """Spearman after shuffling y inside each pair (inside the group without pairs): position i of one hash order
-    meets position i of another."""
+    """Spearman after shuffling y inside each pair (inside the group without pairs).
+
+    Shuffling changes no rank, so both are ranked once; a task permutes the ranks of one pair and adds up their products
+    for all permutations, and pairs' sums make the group's. A pair of more than PERMUTED_ROWS rows is shuffled in parts,
+    dealt by the rows' hashes.
+    """
     g = [*keys, *([within] if within else [])]
-    d = keep(pred.select(*g, row, "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
-    order = lambda tag: stable_u01(F.concat_ws("|", F.lit(f"{seed}{tag}"), F.col("b"), F.col(row)))
-    gb = [*g, "b"]
-    a = ordered_positions(d.withColumn("_u", order("y")), gb, "_u", row, "_pos").select(*gb, "_pos", "y_true")
-    p = ordered_positions(d.withColumn("_u", order("p")), gb, "_u", row, "_pos").select(*gb, "_pos", "y_pred")
-    return regression_metrics(keep(a.join(p, [*gb, "_pos"]).select(*keys, "b", "y_true", "y_pred")), [*keys, "b"]).select(*keys, F.col("b").alias("perm_id"), F.col("spearman").alias("perm_spearman"))
+    d = pred.select(*g, row, F.col("y_true").alias("y"), F.col("y_pred").alias("p")).dropna(subset=["y", "p"])
+    ranked = keep(average_ranks(keep(d), keys, {"y": "ry", "p": "rp"}).select(*g, F.xxhash64(row).alias("_h"), "ry", "rp"))
+    parts = ranked.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / PERMUTED_ROWS).cast("int").alias("_parts"))
+    hot = parts.where("_parts > 1")
+    part = F.pmod("_h", F.coalesce("_parts", F.lit(1)))
+    dealt = join_facts(ranked, hot, g, "_h", "left").withColumn("_part", part.cast("int"))
+    shape = ranked.select(*keys).schema
+
+    def run(key, group):
+        own = [k.as_py() for k in key]
+        group = group.sort_by([("_h", "ascending"), ("ry", "ascending"), ("rp", "ascending")])
+        ry, rp, rng = group.column("ry").to_numpy(), group.column("rp").to_numpy(), _rng(seed, *own)
+        sums = [float(rng.permutation(ry) @ rp) for _ in range(B)]
+        return pa.table({k: pa.array([v] * B) for k, v in zip(keys, own)} | {"b": pa.array(np.arange(1, B + 1)), "s": pa.array(sums)})
+
+    sums = dealt.groupBy(*g, "_part").applyInArrow(run, StructType([*shape.fields, *StructType.fromDDL("b long, s double").fields]))
+    sums = sums.groupBy(*keys, "b").agg(F.sum("s").alias("s"))
+    m = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("ry").alias("my"), F.avg("rp").alias("mp"), F.var_pop("ry").alias("vy"), F.var_pop("rp").alias("vp"))
+    rho = F.when((F.col("vy") > 1e-12) & (F.col("vp") > 1e-12), (F.col("s") / F.col("n") - F.col("my") * F.col("mp")) / F.sqrt(F.col("vy") * F.col("vp")))
+    return sums.join(m, keys).select(*keys, F.col("b").alias("perm_id"), rho.alias("perm_spearman"))

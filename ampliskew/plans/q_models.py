@@ -8,6 +8,7 @@ from ..operators import evaluate as ev
 from ..operators import kmers as km
 from ..operators import models as md
 from ..operators import tables as tb
+from ..session import keep
 from .fixtures import FEATS
 from .q_kmers import SEG, SEG_SIZES
 from .registry import query
@@ -230,33 +231,34 @@ def _(t):
 
 
 def pred_rows(t):
-    return t.predictions.where("model = 'rf' AND variant = 'all'").withColumn("row_id", F.concat_ws("|", "pair_id", "seq_id"))
+    return t.predictions.withColumn("row_id", F.concat_ws("|", "pair_id", "seq_id"))
 
 
 @query("j06_bootstrap_rows")
 def _(t):
-    return ev.bootstrap_rows(pred_rows(t), ["locus"], 10)
+    return ev.bootstrap_rows(pred_rows(t), G)
 
 
 @query("j07_bootstrap_pairs")
 def _(t):
-    return ev.bootstrap_pairs(pred_rows(t), ["locus"], 10)
+    return ev.bootstrap_pairs(pred_rows(t), G)
 
 
 @query("j08_bootstrap_stratified")
 def _(t):
-    return ev.bootstrap_stratified(pred_rows(t), ["locus"], 10)
+    return ev.bootstrap_stratified(pred_rows(t), G)
 
 
 @query("j09_merge_ci")
 def _(t):
-    ci = ev.bootstrap_pairs(pred_rows(t), ["locus"], 10).select("locus", "spearman_ci_low", "spearman_ci_high", "n_pairs")
-    return ev.merge_ci(ev.regression_metrics(pred_rows(t), ["locus"]), ci, ["locus"])
+    p = keep(pred_rows(t))
+    ci = ev.bootstrap_pairs(p, G).select(*G, "spearman_ci_low", "spearman_ci_high", "n_pairs")
+    return ev.merge_ci(ev.regression_metrics(p, G), ci, G)
 
 
 @query("j27_permutation_null")
 def _(t):
-    return ev.permutation_null(pred_rows(t), ["locus"], 5)
+    return ev.permutation_null(pred_rows(t), G)
 
 
 MT = f"""{RK.format(k=GS)}, mt AS (SELECT *, 'top0p5p' AS tag FROM ({MET.format(k=GS)}) m), mr6 AS (SELECT * REPLACE (round(spearman, 9) AS spearman, round(rmse, 9) AS rmse, round(r2, 9) AS r2, round(mae, 9) AS mae) FROM mt)"""

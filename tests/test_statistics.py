@@ -66,15 +66,69 @@ def test_sparse_equals_dense(spark):
     assert math.isclose(a.pearson_corr, b.pearson_corr, abs_tol=1e-9) and abs(a.pearson_corr) <= 1
 
 
-def test_bootstrap_and_permutation(spark):
+def predictions():
     p = frame().rename(columns={"x": "y_true", "id": "row_id"})
     p["y_pred"], p["pair_id"] = p.y_true * 0.8 + p.y * 0.1, ["p%d" % (i % 7) for i in range(len(p))]
+    p.loc[p.index[::5], "y_true"] = 1.0  # ties
+    return p
+
+
+def brute_metrics(p):
+    y, q = p.y_true, p.y_pred
+    return [1 - ((y - q) ** 2).sum() / ((y - y.mean()) ** 2).sum(), math.sqrt(((y - q) ** 2).mean()), (y - q).abs().mean(), np.corrcoef(y.rank(), q.rank())[0, 1]]
+
+
+def test_replicates_equal_repeated_rows(spark):
+    """A replicate's weights give what its rows give when they are written out."""
+    p = predictions()
     d = spark.createDataFrame(p)
-    for f in (ev.bootstrap_rows, ev.bootstrap_pairs, ev.bootstrap_stratified):
+    for unit, draw in ((None, ev._drawn_rows), ("pair_id", ev._drawn_units), ("g", ev._drawn_rows)):
+        got = ev._replicates(ev._points(d, ["g"], unit), ["g"], 260, 3, draw).toPandas()
+        assert len(got) == 520 and sorted(got[got.g == "a"].b) == list(range(1, 261))
+        for g, own in p.groupby("g"):
+            own = own.assign(u=own[unit] if unit else "0").groupby(["u", "y_true", "y_pred"]).size().rename("c").reset_index().sort_values(["u", "y_true", "y_pred"])
+            u = np.unique(own.u, return_inverse=True)[1]
+            w = draw(ev._rng(3, g, 1), u, own.c.to_numpy(), 10)
+            assert (w.sum(1) == own.c.sum()).all() or unit == "pair_id"
+            for b in range(10):
+                want = brute_metrics(own.loc[own.index.repeat(w[b])])
+                row = got[(got.g == g) & (got.b == 251 + b)].iloc[0]
+                assert np.allclose([row.r2, row.rmse, row.mae, row.spearman], want, atol=1e-9)
+
+
+def test_bootstrap_means_and_large_groups(spark, monkeypatch):
+    p = predictions()
+    d = spark.createDataFrame(p)
+    full = {r.g: r for r in ev.bootstrap_rows(d, ["g"], 600).collect()}
+    for g, own in p.groupby("g"):
+        want = brute_metrics(own)
+        r = full[g]
+        assert r.n_boot == 600 and r.spearman_ci_low < r.spearman_boot_mean < r.spearman_ci_high
+        assert abs(r.rmse_boot_mean - want[1]) < 3 * r.rmse_boot_sd and abs(r.spearman_boot_mean - want[3]) < 3 * r.spearman_boot_sd
+    again = {r.g: r for r in ev.bootstrap_rows(d.repartition(5), ["g"], 600).collect()}
+    assert all(np.allclose(again[g][1:], full[g][1:], atol=1e-9) for g in full)
+    monkeypatch.setattr(ev, "CELLS", 1 << 6)
+    monkeypatch.setattr(ev, "STEPS", 64)
+    cut = {r.g: r for r in ev.bootstrap_rows(d, ["g"], 600).collect()}
+    for g, r in full.items():
+        assert abs(cut[g].rmse_boot_mean - r.rmse_boot_mean) < r.rmse_boot_sd and abs(cut[g].spearman_boot_mean - r.spearman_boot_mean) < r.spearman_boot_sd
+    for f in (ev.bootstrap_pairs, ev.bootstrap_stratified):
         for r in f(d, ["g"], 12).collect():
             assert r.n_boot == 12 and r.spearman_ci_low <= r.spearman_boot_mean <= r.spearman_ci_high
-    null = ev.permutation_null(d, ["g"], 3).toPandas()
-    assert len(null) == 6 and null.perm_spearman.abs().max() < 0.5
+
+
+def test_permutations_keep_ranks_inside_pairs(spark, monkeypatch):
+    p = predictions()
+    d = spark.createDataFrame(p)
+    null = ev.permutation_null(d, ["g"], 40).toPandas()
+    assert len(null) == 80 and null.perm_spearman.abs().max() < 0.5
+    for g, own in p.groupby("g"):
+        assert abs(null[null.g == g].perm_spearman.mean()) < 4 * null[null.g == g].perm_spearman.std() / math.sqrt(40) + 0.1
+    alone = ev.permutation_null(d, ["g"], 2, within="row_id").toPandas().set_index("g").perm_spearman
+    for g, own in p.groupby("g"):  # pairs of one row can't be shuffled
+        assert np.allclose(alone[g], brute_metrics(own)[3])
+    monkeypatch.setattr(ev, "PERMUTED_ROWS", 10)
+    assert ev.permutation_null(d, ["g"], 40).toPandas().perm_spearman.abs().max() < 0.6
 
 
 def test_contributions_add_up(spark):
