@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import rnd
 from ..operators import dataset as ds
 from ..operators import evaluate as ev
+from ..operators import forests as fo
 from ..operators import kmers as km
 from ..operators import models as md
 from ..operators import tables as tb
@@ -178,30 +179,46 @@ def model_input(t):
 
 @query("j01_random_forest")
 def _(t):
-    d = model_input(t)
-    m = md.fit_rf(d.where("split = 'train'"), 5, 3)
+    d = keep(model_input(t))
+    m = md.fit_rf(d.where("split = 'train'"))
     p = md.predict(m, d.where("split = 'test'"))
     return ev.regression_metrics(p, ["species", "locus"])
 
 
 @query("j02_boosted_trees")
 def _(t):
-    d = model_input(t)
-    m = md.fit_gbt(d, 5, 3)
+    m = md.fit_gbt(keep(model_input(t)))
     return md.importance(m, DENSE)
 
 
-@query("j03_model_grid")
-def _(t):
-    d = model_input(t)
-    models, _ = md.fit_grid(d, ["locus"], lambda x: md.fit_rf(x.where("split = 'train'"), 3, 3))
+TAGS = {"all": 1.0, "top50p": 0.5, "top10p": 0.1}
+
+
+def grid_rows(t):
+    """Rows of every tag (the rows of largest |y| of each split) with all columns of every variant in one vector."""
+    d = keep(split_rows(t).join(t.features, "seq_id"))
+    full = ds.assemble(d, DENSE, "all", kmer_features(t), VOCAB).select("species", "locus", "row_id", "split", "y", "w", "features")
+    full = keep(full)
     out = None
-    for (loc,), m in sorted(models.items()):
-        p = ev.regression_metrics(md.predict(m, d.where((F.col("locus") == loc) & (F.col("split") == "test"))), ["locus"])
-        out = p if out is None else out.unionByName(p)
+    for tag, frac in TAGS.items():
+        own = full if frac == 1 else ds.topbias(full, ["species", "locus", "split"], frac, "row_id")
+        own = own.withColumn("tag", F.lit(tag))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
+def grid_variants():
+    names = [*DENSE, *VOCAB]
+    return {v: [i for i, n in enumerate(names) if n in (ds.variant_columns(DENSE, v) if n in DENSE else [] if v.startswith("no_kmer") else [n] if not v.startswith("kmer_only_k") or n.startswith(f"k{v[11:]}_") else [])] for v in VARIANTS}
+
+
+@query("j03_model_grid")
+def _(t):
+    d = keep(grid_rows(t))
+    grid = fo.fit_forests(d, ["tag", "species", "locus"], grid_variants())
+    return ev.regression_metrics(fo.predict_forests(grid, d.where("split = 'test'"), ["tag", "species", "locus"]), ["tag", "species", "locus", "variant"])
+
+
 RK = """rk AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY y_true) + (count(*) OVER (PARTITION BY {k}, y_true) - 1) / 2.0 AS ry,
   rank() OVER (PARTITION BY {k} ORDER BY y_pred) + (count(*) OVER (PARTITION BY {k}, y_pred) - 1) / 2.0 AS rp FROM fx_predictions)"""
 MET = """SELECT {k}, count(*) AS n, 1 - sum(pow(y_true - y_pred, 2)) / (count(*) * var_pop(y_true)) AS r2, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, avg(abs(y_true - y_pred)) AS mae,
@@ -364,16 +381,16 @@ def _(t):
 
 @query("j18_tree_contributions")
 def _(t):
-    d = model_input(t)
-    m = md.fit_gbt(d, 4, 3)
-    c, _ = md.tree_contributions(m, d, DENSE, ["row_id"])
+    d = keep(model_input(t))
+    m = md.fit_rf(d.where("split = 'train'"), 100, 10)
+    c, _ = md.tree_contributions(m, d, ["row_id"])
     return md.contribution_table(c, DENSE)
 
 
 @query("j18_permutation_importance")
 def _(t):
-    d = model_input(t)
-    m = md.fit_rf(d.where("split = 'train'"), 3, 3)
+    d = keep(model_input(t))
+    m = md.fit_rf(d.where("split = 'train'"))
     return md.permutation_importance(m, d.where("split = 'test'"), DENSE)
 
 

@@ -135,7 +135,7 @@ def test_contributions_add_up(spark):
     p = frame()
     d = ds.assemble(spark.createDataFrame(p).withColumn("w", F.lit(1.0)).withColumn("z", F.col("x") * F.col("y")), ["x", "z"], "no_kmer")
     for model in (md.fit_rf(d, 3, 3), md.fit_gbt(d.withColumn("split", F.when(F.col("g") == "a", "val").otherwise("train")), 3, 3)):
-        c, base = md.tree_contributions(model, model.transform(d), ["x", "z"], ["id", "prediction"])
+        c, base = md.tree_contributions(model, model.transform(d), ["id", "prediction"])
         err = [abs(sum(r.contrib) + base - r.prediction) for r in c.collect()]
         assert max(err) < 1e-6
 
