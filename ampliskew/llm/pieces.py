@@ -18,6 +18,8 @@ from .wordcache import ChunkCache, encoded
 SPACE = "▁"
 #: Longest text whose agenda is a plain list.
 SHORT, NEVER = 48, 1 << 60
+#: Chunks whose ids a worker keeps.
+HELD_CHUNKS = 500_000
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -47,7 +49,7 @@ class MergeEncoder:
         self.order = {p: place[s] for p, s in score.items()}
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.cut = not crosses and not any("\n" in p for p in self.id) and bool(self.byte_id)
-        self.cache = ChunkCache(self._fresh)
+        self.cache = ChunkCache(self._fresh, HELD_CHUNKS)
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a normalised text."""
