@@ -28,7 +28,8 @@ class MergeEncoder:
 
     Merges run in order of score, ties from the left, on a heap of adjacent pairs. Texts are cut where no piece of the
     vocabulary can cross: before a space mark that follows another character, and around line breaks if no piece holds
-    one. Every chunk is encoded by the agenda once per cache life and its ids are compared with the library's.
+    one. Every chunk is encoded by the agenda once per cache life and its ids are compared with the library's; texts with other
+    blanks than single ones go through the agenda whole and are compared too.
     """
 
     def __init__(self, model: str, verify: bool = True):
@@ -118,7 +119,11 @@ class MergeEncoder:
         """Ids of all texts in one array, and where each text's end."""
         norms = [self.lib.normalize(t) for t in texts]
         keys = [self._keys(n) for n in norms]
-        return encoded(self.cache, keys, [self._plain(n) for n, k in zip(norms, keys) if k is None])
+        odd = [i for i, k in enumerate(keys) if k is None]
+        plain = [self._plain(norms[i]) for i in odd]
+        if self.verify and plain != self.lib.encode([texts[i] for i in odd], num_threads=1):
+            raise RuntimeError("agenda and library differ on a text with blanks that don't stand alone")
+        return encoded(self.cache, keys, plain)
 
     def _keys(self, norm: str) -> list[str] | None:
         """Cache keys of a text whose words are single-spaced, else None."""
