@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,12 @@ from ..functions.joins import join_facts
 from ..functions import seq as sq
 from ..functions.cols import ratio0
 from ..functions.ranks import top_per_group
+from ..functions.words import Rolled, spelled
 from .features import spread
 
+#: Rows of one Arrow batch of words.
+ROWS = 100_000
+
 
 def _count_words(df: DataFrame, tables: list[tuple[dict, Column]]) -> DataFrame:
     """seq_id, labels, kmer, n for every (labels, word array).
@@ -27,10 +34,35 @@ def _count_words(df: DataFrame, tables: list[tuple[dict, Column]]) -> DataFrame:
             .groupBy("seq_id", *labels, "kmer").agg(F.count(F.lit(1)).cast("int").alias("n")))
 
 
-def kmers_long(catalog: DataFrame, ks=range(1, 9), scopes=("all", "head", "tail"), seq: str = "sequence", w: int = 30) -> DataFrame:
-    """seq_id, scope, k, kmer, n; words with N are skipped."""
-    text = {"all": F.col(seq), "head": sq.head(seq, w), "tail": sq.tail(seq, w)}
-    return _count_words(catalog, [({"scope": s, "k": k}, sq.kmers(text[s], k)) for s in scopes for k in ks])
+SCOPES = ("all", "head", "tail")
+
+
+def kmers_long(catalog: DataFrame, ks=range(1, 9), scopes=SCOPES, seq: str = "sequence", w: int = 30) -> DataFrame:
+    """seq_id, scope, k, kmer, n; words with N are skipped, words with other letters kept as they are.
+
+    Words are numbers of two bits a base that roll along all sequences of a batch; nothing is shuffled.
+    """
+    ks = sorted(ks)
+    src = catalog.select("seq_id", seq)
+    kind = src.schema["seq_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rolled, ids = Rolled(b.column(1), w), b.column(0)
+            names = pa.schema([("seq_id", ids.type), ("scope", pa.string()), ("k", pa.int32()), ("kmer", pa.string()), ("n", pa.int32())])
+            for k in ks:
+                for s in scopes:
+                    owner, word, n, odd = rolled.counted(k, s)
+                    parts = [(owner, spelled(k).take(pa.array(word)), n)]
+                    if odd:
+                        parts.append((np.asarray([o for o, _ in odd]), pa.array([x for _, x in odd]), np.asarray(list(odd.values()))))
+                    for at, words, times in parts:
+                        for a in range(0, len(at), ROWS):
+                            z = slice(a, a + ROWS)
+                            m = len(at[z])
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[z])), pa.array([s] * m), pa.array(np.full(m, k, "i4")), words[z], pa.array(times[z].astype("i4"))], schema=names)
+
+    return src.mapInArrow(run, f"seq_id {kind}, scope string, k int, kmer string, n int")
 
 
 def kmer_df(kmers: DataFrame) -> DataFrame:
@@ -38,6 +70,39 @@ def kmer_df(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("scope", "k", "kmer").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total_count"))
 
 
+def kmer_table(catalog: DataFrame, ks=range(1, 9), scopes=SCOPES, seq: str = "sequence", w: int = 30) -> DataFrame:
+    """G02 straight from sequences: scope, k, kmer, df, total_count.
+
+    Each task adds up 4^k counters a scope and word length and sends those in use, so what is shuffled doesn't grow with
+    the sequences.
+    """
+    ks = sorted(ks)
+    names = pa.schema([("scope", pa.string()), ("k", pa.int32()), ("kmer", pa.string()), ("df", pa.int64()), ("total_count", pa.int64())])
+
+    def run(batches):
+        seen = {(s, k): np.zeros((2, 4**k), "i8") for s in scopes for k in ks}
+        odd_df, odd_n = Counter(), Counter()
+        for b in batches:
+            rolled = Rolled(b.column(0), w)
+            for k in ks:
+                for s in scopes:
+                    _, word, n, odd = rolled.counted(k, s)
+                    seen[s, k][0] += np.bincount(word, minlength=4**k)
+                    seen[s, k][1] += np.bincount(word, n, 4**k).astype("i8")
+                    for (_, text), times in odd.items():
+                        odd_df[s, k, text] += 1
+                        odd_n[s, k, text] += times
+        for (s, k), (df, n) in seen.items():
+            used = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(used)), pa.array(np.full(len(used), k, "i4")), spelled(k).take(pa.array(used)), pa.array(df[used]), pa.array(n[used])], schema=names)
+        if odd_df:
+            s, k, text = zip(*odd_df)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k, pa.int32()), pa.array(text), pa.array(list(odd_df.values()), pa.int64()), pa.array([odd_n[x] for x in odd_df], pa.int64())], schema=names)
+
+    parts = catalog.select(seq).mapInArrow(run, "scope string, k int, kmer string, df long, total_count long")
+    return parts.groupBy("scope", "k", "kmer").agg(F.sum("df").alias("df"), F.sum("total_count").alias("total_count"))
+
+
 def select_vocab(df: DataFrame, min_df: int = 10, max_per_k: int = 2000) -> DataFrame:
     """Most widespread k-mers per scope and k (ties: total, then the k-mer)."""
     return top_per_group(df.where(F.col("df") >= min_df), ["scope", "k"], [F.desc("df"), F.desc("total_count"), "kmer"], max_per_k)

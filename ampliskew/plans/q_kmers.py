@@ -21,15 +21,15 @@ def words(ks, scopes=("all", "head", "tail"), table="fx_catalog"):
 kl AS (SELECT seq_id, scope, k, kmer, CAST(count(*) AS INTEGER) AS n FROM kx WHERE kmer NOT LIKE '%N%' GROUP BY ALL)"""
 
 
-@query("g01_kmers_long", needs=("fx_catalog",), sql=f"WITH {words((2, 5))} SELECT * FROM kl")
+@query("g01_kmers_long", needs=("fx_catalog",), sql=f"WITH {words(range(1, 9))} SELECT * FROM kl")
 def _(t):
-    return km.kmers_long(t.catalog, (2, 5))
+    return km.kmers_long(t.catalog)
 
 
 @query("g02_kmer_df", needs=("fx_read_catalog",), i="total_count", sql=f"""
 WITH {words(range(1, 9), table='fx_read_catalog')} SELECT scope, k, kmer, count(*) AS df, sum(n) AS total_count FROM kl GROUP BY ALL""")
 def _(t):
-    return km.kmer_df(km.kmers_long(t.read_catalog, range(1, 9)))
+    return km.kmer_table(t.read_catalog)
 
 
 VOC = """vd AS (SELECT scope, k, kmer, count(*) AS df, CAST(sum(n) AS BIGINT) AS total_count FROM kl GROUP BY ALL HAVING count(*) >= 10),
@@ -37,7 +37,7 @@ vo AS (SELECT * FROM vd QUALIFY row_number() OVER (PARTITION BY scope, k ORDER B
 
 
 def vocab(t, ks=range(1, 9), cap=2000):
-    return km.select_vocab(km.kmer_df(km.kmers_long(t.catalog, ks)), 10, cap)
+    return km.select_vocab(km.kmer_table(t.catalog, ks), 10, cap)
 
 
 @query("g03_select_vocab", needs=CAT, sql=f"WITH {words(range(1, 9))}, {VOC.format(cap=2000)} SELECT * FROM vo")
@@ -57,7 +57,7 @@ def _(t):
 WITH {words(range(4, 9), ('all',))}, d AS (SELECT scope, k, kmer, count(*) AS df, CAST(sum(n) AS BIGINT) AS total_count FROM kl GROUP BY ALL HAVING count(*) >= 2)
 SELECT * FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY df DESC, kmer) <= 200) x ORDER BY df DESC, k, kmer LIMIT 700""")
 def _(t):
-    return km.select_vocab_capped(km.kmer_df(km.kmers_long(t.catalog, range(4, 9), ["all"])), 2, 200, 700)
+    return km.select_vocab_capped(km.kmer_table(t.catalog, range(4, 9), ["all"]), 2, 200, 700)
 
 
 SHORT = [("all", 2, "CG"), ("all", 3, "ACG"), ("head", 2, "TT"), ("tail", 4, "GATA"), ("head", 5, "GGGGG")]
@@ -145,15 +145,14 @@ def _(t):
     return km.motif_features(regions(t), km.motif_catalog(regions(t)))
 
 
-NORM = f"""{words((2, 4))}, {VOC.format(cap=60)},
+NORM = f"""{words(range(1, 9))}, {VOC.format(cap=2000)},
 nr AS (SELECT a.sample_id, kl.scope, kl.k, kl.kmer, CAST(sum(a.count * kl.n) AS BIGINT) AS sum_count FROM fx_counts a JOIN kl USING (seq_id) JOIN vo USING (scope, k, kmer) GROUP BY ALL),
 nm AS (SELECT nr.*, t.total, sum_count / CAST(t.total AS DOUBLE) AS norm_per_read FROM nr JOIN fx_totals t USING (sample_id))"""
 NN = ("fx_catalog", "fx_counts", "fx_totals", "fx_pairs")
 
 
 def norm(t):
-    k = km.kmers_long(t.catalog, (2, 4))
-    return km.sample_kmer_norm(t.counts, k, km.select_vocab(km.kmer_df(k), 10, 60), bias.sample_totals(t.counts))
+    return km.sample_kmer_norm(t.counts, km.kmers_long(t.catalog), vocab(t), bias.sample_totals(t.counts))
 
 
 @query("g12_sample_kmer_norm", needs=NN, r="norm_per_read", sql=f"WITH {NORM} SELECT * FROM nm")
@@ -202,21 +201,21 @@ UNION ALL SELECT 'locus', '12S', 'k' || k || '_all_' || kmer, CAST(row_number()
 
 
 @query("g15_ranked_kmers", needs=CAT, sql=f"""
-WITH {words((2, 3, 4))}, {VOC.format(cap=100)}, {RANKED},
+WITH {words(range(1, 9), ("all",))}, {VOC.format(cap=2000)}, {RANKED},
 x AS (SELECT *, CAST(regexp_extract(feature, '^k(\\d+)_', 1) AS INTEGER) AS k FROM j),
 c AS (SELECT *, 0 AS source FROM x WHERE group_type = 'ALL' QUALIFY row_number() OVER (PARTITION BY k ORDER BY rank, feature) <= 12
 UNION ALL SELECT *, 1 AS source FROM x WHERE group_type = 'locus' QUALIFY row_number() OVER (PARTITION BY k ORDER BY rank, feature) <= 14)
 SELECT feature, k, source, rank FROM c QUALIFY row_number() OVER (PARTITION BY feature ORDER BY source, rank) = 1 ORDER BY source, rank, feature LIMIT 40""")
 def _(t):
-    v = km.select_vocab(km.kmer_df(km.kmers_long(t.catalog, (2, 3, 4), ["all"])), 10, 100)
+    v = km.select_vocab(km.kmer_table(t.catalog, scopes=["all"]))
     from pyspark.sql import Window
     name = F.concat(F.lit("k"), "k", F.lit("_all_"), "kmer")
-    one = Window.partitionBy("scope")   # the vocabulary is capped, so one group holds at most 300 rows
+    one = Window.partitionBy("scope")   # the vocabulary is capped, so one group holds at most 16000 rows
     j = v.select(F.lit("ALL").alias("group_type"), F.lit("ALL").alias("group_value"), name.alias("feature"),
                  F.row_number().over(one.orderBy(F.desc("df"), "k", "kmer")).alias("rank")).unionByName(
         v.select(F.lit("locus").alias("group_type"), F.lit("12S").alias("group_value"), name.alias("feature"),
                  F.row_number().over(one.orderBy(F.desc("total_count"), "k", "kmer")).alias("rank")))
-    return km.ranked_kmers(j, "12S", (2, 3, 4), 12, 14, 40)
+    return km.ranked_kmers(j, "12S", range(1, 9), 12, 14, 40)
 
 
 @query("g16_slice_and_concat", needs=CAT, sql="""
