@@ -368,7 +368,11 @@ def mw_shift(wide: DataFrame, keys: list[str], features: list[str], y: str = "y"
 
 
 def feature_corr_matrix(wide: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """H23, long: Pearson between features. Every Arrow batch sends one moment matrix per group, which are then summed."""
+    """H23, long: Pearson between features over the rows that have both; gaps and infinite values leave their pairs only.
+
+    Every Arrow batch sends one matrix a moment and group: products of the values and of the masks of what is present
+    (n, sums of either side where both are there), which are then summed. NULL where a side doesn't vary.
+    """
     k = len(features)
     dt = dict(wide.dtypes)
     schema = ", ".join([f"{x} {dt[x]}" for x in keys] + ["i int", "j int", "n double", "si double", "sj double", "sii double", "sjj double", "sij double"])
@@ -376,19 +380,20 @@ def feature_corr_matrix(wide: DataFrame, keys: list[str], features: list[str]) -
 
     def moments(batches):
         for pdf in batches:
-            for key, g in pdf.groupby(keys, sort=False):
+            for key, g in pdf.groupby(keys, sort=False, dropna=False):
                 x = g[features].to_numpy(dtype=float)
-                x = x[np.isfinite(x).all(axis=1)]
-                s, p = x.sum(axis=0), x.T @ x
+                there = np.isfinite(x)
+                x, there = np.where(there, x, 0.0), there.astype(float)
+                s, q = x.T @ there, (x * x).T @ there
                 out = {name: v for name, v in zip(keys, key)}
-                out.update(i=ii.ravel(), j=jj.ravel(), n=float(len(x)), si=s[ii].ravel(), sj=s[jj].ravel(), sii=np.diag(p)[ii].ravel(),
-                           sjj=np.diag(p)[jj].ravel(), sij=p.ravel())
+                out.update(i=ii.ravel(), j=jj.ravel(), n=(there.T @ there).ravel(), si=s.ravel(), sj=s.T.ravel(), sii=q.ravel(), sjj=q.T.ravel(), sij=(x.T @ x).ravel())
                 yield pd.DataFrame(out)[[*keys, "i", "j", "n", "si", "sj", "sii", "sjj", "sij"]]
 
     names = F.array(*[F.lit(f) for f in features])
     m = wide.select(*keys, *features).mapInPandas(moments, schema).groupBy(*keys, "i", "j").agg(*[F.sum(v).alias(v) for v in ("n", "si", "sj", "sii", "sjj", "sij")])
     v = lambda s, q: F.col(q) / F.col("n") - F.col(s) * F.col(s) / (F.col("n") * F.col("n"))
     cov = F.col("sij") / F.col("n") - F.col("si") * F.col("sj") / (F.col("n") * F.col("n"))
+    m = m.withColumn("n", F.nullif("n", F.lit(0.0)))
     return m.select(*keys, F.element_at(names, F.col("i") + 1).alias("feature_i"), F.element_at(names, F.col("j") + 1).alias("feature_j"),
                     F.when((v("si", "sii") > 0) & (v("sj", "sjj") > 0), cov / F.sqrt(v("si", "sii") * v("sj", "sjj"))).alias("corr"))
 

@@ -198,14 +198,12 @@ def _(t):
 @query("f19_f20_kmer_summaries", needs=RC, digits=6, nudge=1e-9, r=" ".join(f"{f}_{k}" for f in ("entropy", "gini", "top10cov", "lingcomp") for k in range(1, 9)), sql="""
 WITH w AS (SELECT seq_id, k, length(sequence) AS n, unnest([substr(sequence, i, k) for i in range(1, length(sequence) - k + 2)]) AS kmer FROM fx_read_catalog, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) v(k)),
 c AS (SELECT seq_id, k, n, kmer, count(*) AS c FROM w WHERE kmer NOT LIKE '%N%' GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k ORDER BY c, kmer) AS i, row_number() OVER (PARTITION BY seq_id, k ORDER BY c DESC, kmer) AS j,
-  sum(c) OVER (PARTITION BY seq_id, k) AS t FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, k ORDER BY c, kmer) AS i, count(*) OVER (PARTITION BY seq_id, k) AS d, sum(c) OVER (PARTITION BY seq_id, k) AS t FROM c),
 g AS (SELECT seq_id, k, count(*) AS d, -sum((c / t) * log2(c / t)) AS e, 2.0::DOUBLE * sum(i * c) / (count(*) * any_value(t)) - (count(*) + 1) / CAST(count(*) AS DOUBLE) AS gini,
-  sum(CASE WHEN j <= 10 THEN c END) / any_value(t) AS top, count(*) / CAST(least(pow(4, k), any_value(n) - k + 1) AS DOUBLE) AS ling FROM r GROUP BY seq_id, k)
-SELECT b.seq_id, {cols} FROM fx_read_catalog b {joins}""".format(
-    cols=", ".join(f"CAST(coalesce(g{k}.d, 0) AS INTEGER) AS distinct_{k}, coalesce(g{k}.e, 0) AS entropy_{k}, coalesce(g{k}.gini, 0) AS gini_{k}, "
-                   f"coalesce(g{k}.top, 0) AS top10cov_{k}, coalesce(g{k}.ling, 0) AS lingcomp_{k}" for k in range(1, 9)),
-    joins=" ".join(f"LEFT JOIN g g{k} ON g{k}.seq_id = b.seq_id AND g{k}.k = {k}" for k in range(1, 9))))
+  sum(CASE WHEN i > r.d - 10 THEN c END) / any_value(t) AS top, count(*) / CAST(least(pow(4, k), any_value(n) - k + 1) AS DOUBLE) AS ling FROM r GROUP BY seq_id, k)
+SELECT b.seq_id, {cols} FROM fx_read_catalog b LEFT JOIN g ON g.seq_id = b.seq_id GROUP BY b.seq_id""".format(
+    cols=", ".join(f"CAST(coalesce(max(d) FILTER (k = {k}), 0) AS INTEGER) AS distinct_{k}, coalesce(max(e) FILTER (k = {k}), 0) AS entropy_{k}, coalesce(max(gini) FILTER (k = {k}), 0) AS gini_{k}, "
+                   f"coalesce(max(top) FILTER (k = {k}), 0) AS top10cov_{k}, coalesce(max(ling) FILTER (k = {k}), 0) AS lingcomp_{k}" for k in range(1, 9))))
 def _(t):
     d = ft.kmer_summaries(t.read_catalog)
     return d.select("seq_id", *[F.col(f"feat_k{k}_{f}").alias(f"{f}_{k}") for k in range(1, 9) for f in ("distinct", "entropy", "gini", "top10cov")],

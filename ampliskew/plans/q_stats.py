@@ -314,6 +314,15 @@ def _(t):
     return st.feature_corr_matrix(training(t), ["locus"], FEATS)
 
 
+@query("h23_feature_corr_gaps", needs=LONG, digits=5, r="corr", sql="""
+WITH l AS (SELECT * FROM fx_long WHERE (count_yes + count_no + length(feature)) % 5 <> 0)
+SELECT a.locus, a.feature AS feature_i, b.feature AS feature_j, corr(a.x, b.x) AS corr FROM l a JOIN l b ON a.pair_id = b.pair_id AND a.seq_id = b.seq_id GROUP BY 1, 2, 3""")
+def _(t):
+    """Every feature lacks about a fifth of its rows, each other ones."""
+    gap = lambda f: F.when((F.col("count_yes") + F.col("count_no") + len(f)) % 5 != 0, F.col(f))
+    return st.feature_corr_matrix(training(t).withColumns({f: gap(f) for f in FEATS}), ["locus"], FEATS)
+
+
 @query("h24_feature_trend", needs=LONG, r="y_lo y_hi y_mean x_mean y_median x_median", sql="""
 WITH l AS (SELECT locus, feature, x, round(log2fc, 9) AS y FROM fx_long),
 e AS (SELECT locus, list_sort(list_distinct(quantile_cont(y, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM l WHERE feature = 'feat_gc' GROUP BY 1),
