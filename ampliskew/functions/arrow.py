@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,19 +24,65 @@ def lz76(s: pd.Series) -> pd.Series:
     A component ends where its text no longer occurs in everything before its last letter.
     """
 
-    def one(x):
-        if x is None:
-            return None
-        n = len(x)
-        if n < 2:
-            return 2 * n
-        parts, start = 0, 0
-        for end in range(1, n + 1):
-            if x.find(x[start:end], 0, end - 1) < 0:
-                parts, start = parts + 1, end
-        return parts + (start < n)
+    return s.map(lambda x: None if x is None else lz76_count(x)).astype("Int64")
+
+
+#: Letters from which on a suffix automaton, linear in the text, takes the place of searches, which are quadratic.
+LONG_TEXT = 2000
+
+
+def lz76_count(x: str) -> int:
+    n = len(x)
+    if n < 2:
+        return 2 * n
+    if n >= LONG_TEXT:
+        return _lz76_automaton(x)
+    parts, start = 0, 0
+    for end in range(1, n + 1):
+        if x.find(x[start:end], 0, end - 1) < 0:
+            parts, start = parts + 1, end
+    return parts + (start < n)
+
 
-    return s.map(one).astype("Int64")
+def _lz76_automaton(x: str) -> int:
+    """The same count: the automaton holds all of x before its last letter, and ``at`` is the state of the open component.
+
+    States are rows of one table of links, one column a letter of x.
+    """
+    letters = {c: i for i, c in enumerate(sorted(set(x)))}
+    k = len(letters)
+    links, length, suffix = array("i", [-1]) * (2 * len(x) * k + k), array("i", [0]) * (2 * len(x) + 1), array("i", [-1]) * (2 * len(x) + 1)
+    states, last, parts, at, held = 1, 0, 0, 0, 0  # held: letters of the open component so far
+    for i, c in enumerate(map(letters.__getitem__, x)):
+        to = links[at * k + c]
+        if to < 0:
+            parts, at, held = parts + 1, 0, 0
+        else:
+            at, held = to, held + 1
+        new, states = states, states + 1
+        length[new] = i + 1
+        p = last
+        while p >= 0 and links[p * k + c] < 0:
+            links[p * k + c] = new
+            p = suffix[p]
+        if p < 0:
+            suffix[new] = 0
+        else:
+            q = links[p * k + c]
+            if length[p] + 1 == length[q]:
+                suffix[new] = q
+            else:
+                copy, states = states, states + 1
+                length[copy], suffix[copy] = length[p] + 1, suffix[q]
+                links[copy * k:copy * k + k] = links[q * k:q * k + k]
+                while p >= 0 and links[p * k + c] == q:
+                    links[p * k + c] = copy
+                    p = suffix[p]
+                suffix[q] = suffix[new] = copy
+                if at == q and held <= length[copy]:
+                    at = copy
+        last = new
+    return parts + (held > 0)
 
 
 @F.pandas_udf(DoubleType())
@@ -132,40 +179,55 @@ for _code, _bases in {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "
     BITS[ord(_code)] = _bases
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def mismatch_profile(s: pd.Series, primer: pd.Series) -> pd.Series:
-    """Mismatches of an IUPAC primer at every start; empty when the sequence is shorter.
+def _sites(s: pd.Series, primers: pd.Series, lo=None, hi=None) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest mismatches of each row's IUPAC primer and their leftmost start in lo..hi; -1, -1 without a place for it.
 
-    Letters other than A, C, G, T in the sequence mismatch every primer letter.
+    All sequences of a batch with the same primer are one array of base sets, and a primer letter is compared with all
+    starts at once. Letters other than A, C, G, T in a sequence mismatch every primer letter.
     """
-
-    def one(x, p):
-        if x is None:
-            return None
-        if p is None or len(x) < len(p) or not p:
-            return np.zeros(0, dtype=np.int32)
-        b = BITS[np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) & 127]
-        b[(b & (b - 1)) != 0] = 0
-        w = np.lib.stride_tricks.sliding_window_view(b, len(p))
-        return ((w & BITS[np.frombuffer(p.encode(), dtype=np.uint8)]) == 0).sum(axis=1).astype(np.int32)
-
-    return pd.Series([one(x, p) for x, p in zip(s, primer)])
+    mm, pos = np.full(len(s), -1, "i4"), np.full(len(s), -1, "i4")
+    size = np.asarray([len(x) if x is not None else 0 for x in s], "i8")
+    for p in primers.dropna().unique():
+        m = len(p)
+        rows = np.flatnonzero((primers == p).to_numpy(bool) & (size >= max(m, 1)) & s.notna().to_numpy()) if m else np.zeros(0, "i8")
+        if not len(rows):
+            continue
+        n = size[rows]
+        bits = BITS[np.frombuffer("".join(s.iloc[rows]).encode("ascii", "replace"), "u1") & 127]
+        bits[(bits & (bits - 1)) != 0] = 0
+        bits = np.append(bits, np.zeros(m, "u1"))
+        misses = np.zeros(len(bits) - m, "i8")
+        for j, x in enumerate(BITS[np.frombuffer(p.encode(), "u1")]):
+            misses += (bits[j:j + len(misses)] & x) == 0
+        first = np.cumsum(n) - n
+        start = np.arange(len(misses)) - np.repeat(first, n)
+        fits = start + m <= np.repeat(n, n)
+        if lo is not None:
+            fits &= (start >= np.repeat(lo.to_numpy("i8")[rows], n)) & (start <= np.repeat(hi.to_numpy("i8")[rows], n))
+        best = np.minimum.reduceat(np.where(fits, misses << 32 | start, NONE), first)
+        found = best < NONE
+        mm[rows[found]], pos[rows[found]] = best[found] >> 32, best[found] & 0xFFFFFFFF
+    return mm, pos
+
+
+NONE = 1 << 62
+
+
+@F.pandas_udf(StructType([StructField(x, IntegerType()) for x in ("mm", "pos", "end_mm", "end_pos")]))
+def primer_sites(s: pd.Series, primer: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+    """the best site anywhere and the best one that starts in lo..hi; (primer length, -1) if the sequence is too short, null for a null."""
+    out = {}
+    short, there = np.asarray([len(x) if x is not None else 0 for x in primer], "i4"), s.notna() & primer.notna()
+    for a, b, bounds in (("mm", "pos", ()), ("end_mm", "end_pos", (lo.fillna(0), hi.fillna(0)))):
+        mm, pos = _sites(s, primer, *bounds)
+        out[a], out[b] = pd.Series(np.where(pos < 0, short, mm)).where(there, None).astype("Int32"), pd.Series(pos).where(there, None).astype("Int32")
+    return pd.DataFrame(out)
 
 
 @F.pandas_udf(StructType([StructField("mm", IntegerType()), StructField("pos", IntegerType())]))
 def _best_site(s: pd.Series, primer: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x, p in zip(s, primer):
-        if x is None or p is None or len(x) < len(p) or not p:
-            rows.append((None, None))
-            continue
-        b = BITS[np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8) & 127]
-        b[(b & (b - 1)) != 0] = 0
-        w = np.lib.stride_tricks.sliding_window_view(b, len(p))
-        m = ((w & BITS[np.frombuffer(p.encode(), dtype=np.uint8)]) == 0).sum(axis=1)
-        i = int(m.argmin())
-        rows.append((int(m[i]), i))
-    return pd.DataFrame(rows, columns=["mm", "pos"]).astype("Int32")
+    mm, pos = _sites(s, primer)
+    return pd.DataFrame({"mm": pd.Series(mm).where(pos >= 0).astype("Int32"), "pos": pd.Series(pos).where(pos >= 0).astype("Int32")})
 
 
 # Fewest mismatches and their leftmost 0-based start. Not inlined into later filters, so it runs once per row.

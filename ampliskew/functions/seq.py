@@ -275,14 +275,6 @@ def window_max(s, w: int, f) -> Column:
     return F.when(F.length(c(s)) < w, f(c(s))).otherwise(F.array_max(F.transform(windows(s, w), f)))
 
 
-def best_match(profile: Column, length: int, lo=None, hi=None) -> Column:
-    """struct(mm, pos) with the fewest mismatches, leftmost first, over starts lo..hi; (length, -1) if too short."""
-    lo = F.lit(0) if lo is None else lo
-    part = profile if hi is None else F.slice(profile, lo + 1, hi - lo + 1)
-    best = F.array_min(F.transform(part, lambda m, i: F.struct(m.alias("mm"), (i + lo).alias("pos"))))
-    return F.when(F.size(profile) == 0, F.struct(F.lit(length).alias("mm"), F.lit(-1).alias("pos"))).otherwise(best)
-
-
 def local_window(s, pos: Column, length: int, win: int = 60) -> Column:
     """``win`` letters around the middle of a primer site at 0-based ``pos``, shifted inward at the ends."""
     n = F.length(c(s))

@@ -130,24 +130,23 @@ def kmer_summaries(df: DataFrame, seq: str = "sequence", kmax: int = 8) -> DataF
 
 def primer_features(df: DataFrame, seq: str = "sequence", primers=None, slack: int = 10) -> DataFrame:
     """every primer of every locus against every sequence; reverse primers by their reverse complement."""
-    profile, stage, out = {}, {}, {}
+    sites, out = {}, {}
     n = F.length(seq)
     for locus, (fwd, rev) in (primers or PRIMERS).items():
         for side, text in (("f", fwd.upper()), ("r", sq.revcomp_text(rev))):
             k = len(text)
             lo = F.lit(0) if side == "f" else F.greatest(F.lit(0), n - (k + slack))
             hi = F.least(n - k, F.lit(slack)) if side == "f" else n - k
-            m, a, e, q = f"_{locus}_{side}_mm", f"_{locus}_{side}_any", f"_{locus}_{side}_end", f"feat_pr_{locus}_{side}_"
-            profile[m] = arrow.mismatch_profile(seq, F.lit(text))
-            stage[a], stage[e] = sq.best_match(F.col(m), k), sq.best_match(F.col(m), k, lo, F.greatest(lo, hi))
-            pos, end = F.col(a)["pos"], F.col(e)["pos"]
+            m, q = f"_{locus}_{side}", f"feat_pr_{locus}_{side}_"
+            sites[m] = arrow.primer_sites(seq, F.lit(text), lo, F.greatest(lo, hi))
+            pos, end = F.col(m)["pos"], F.col(m)["end_pos"]
             three = [(j, text[j]) for j in (range(max(0, k - 5), k) if side == "f" else range(min(5, k)))]
             misses = sum((F.coalesce((~sq.sub(seq, pos + 1 + j, 1).isin(*sq.IUPAC[x])).cast("int"), F.lit(1)) for j, x in three), F.lit(0))
             out.update({
-                q + "mm_best": F.col(a)["mm"], q + "pos_best": pos, q + "mm_end": F.col(e)["mm"], q + "pos_end": end,
+                q + "mm_best": F.col(m)["mm"], q + "pos_best": pos, q + "mm_end": F.col(m)["end_mm"], q + "pos_end": end,
                 q + "is_end": (end != -1).cast("int"), q + "mm_3p5_best": F.when(pos != -1, misses),
                 q + "gc_end": F.when(end != -1, sq.gc_share(sq.sub(seq, end + 1, k))), q + "endwin60": sq.local_window(seq, end, k)})
-    return df.withColumns(profile).withColumns(stage).withColumns(out).drop(*profile, *stage)
+    return df.withColumns(sites).withColumns(out).drop(*sites)
 
 
 def primer_mismatch(regions: DataFrame, primers: DataFrame) -> DataFrame:

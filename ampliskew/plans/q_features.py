@@ -265,31 +265,34 @@ def _(t):
         "mismatch_fwd_positions", "mismatch_rev_positions")
 
 
-FWD = MARKER_PRIMERS["12S"][0]
-REV = sq.revcomp_text(MARKER_PRIMERS["12S"][1])
-
-
 def mm_at(p, i):
     return " + ".join(f"CASE WHEN substr(sequence, CAST({i} + {j + 1} AS INTEGER), 1) IN ({', '.join(repr(b) for b in sq.IUPAC[x])}) THEN 0 ELSE 1 END" for j, x in enumerate(p))
 
 
-@query("f24_f25_primer_match", needs=("fx_catalog",), r="f_gc_end", sql=f"""
-WITH x AS (SELECT seq_id, sequence, length(sequence) AS n,
-  list_min([({mm_at(FWD, 'i')}) * 100000 + i for i in range(0, length(sequence) - {len(FWD)} + 1)]) AS fb,
-  list_min([({mm_at(FWD, 'i')}) * 100000 + i for i in range(0, least(length(sequence) - {len(FWD)}, 10) + 1)]) AS fe,
-  list_min([({mm_at(REV, 'i')}) * 100000 + i for i in range(0, length(sequence) - {len(REV)} + 1)]) AS rb,
-  list_min([({mm_at(REV, 'i')}) * 100000 + i for i in range(greatest(0, length(sequence) - {len(REV)} - 10), length(sequence) - {len(REV)} + 1)]) AS re FROM fx_catalog)
-SELECT seq_id, CAST(fb // 100000 AS INTEGER) AS f_mm_best, CAST(fb % 100000 AS INTEGER) AS f_pos_best, CAST(fe // 100000 AS INTEGER) AS f_mm_end, CAST(fe % 100000 AS INTEGER) AS f_pos_end,
+def primer_sql(locus):
+    """One line a sequence: the best sites of the locus' two primers anywhere and near the ends."""
+    fwd, rev = MARKER_PRIMERS[locus][0], sq.revcomp_text(MARKER_PRIMERS[locus][1])
+    f, r = len(fwd), len(rev)
+    letters = lambda p, best, js: " + ".join(f"CASE WHEN substr(sequence, CAST({best} % 100000 + {j + 1} AS INTEGER), 1) IN ({', '.join(repr(b) for b in sq.IUPAC[p[j]])}) THEN 0 ELSE 1 END" for j in js)
+    return f"""SELECT seq_id, '{locus}' AS locus, CAST(fb // 100000 AS INTEGER) AS f_mm_best, CAST(fb % 100000 AS INTEGER) AS f_pos_best, CAST(fe // 100000 AS INTEGER) AS f_mm_end, CAST(fe % 100000 AS INTEGER) AS f_pos_end,
   CAST(rb // 100000 AS INTEGER) AS r_mm_best, CAST(rb % 100000 AS INTEGER) AS r_pos_best, CAST(re // 100000 AS INTEGER) AS r_mm_end, CAST(re % 100000 AS INTEGER) AS r_pos_end,
-  CAST({' + '.join(f"CASE WHEN substr(sequence, CAST(fb % 100000 + {j + 1} AS INTEGER), 1) IN ({', '.join(repr(b) for b in sq.IUPAC[FWD[j]])}) THEN 0 ELSE 1 END" for j in range(len(FWD) - 5, len(FWD)))} AS INTEGER) AS f_mm_3p5_best,
-  CAST({' + '.join(f"CASE WHEN substr(sequence, CAST(rb % 100000 + {j + 1} AS INTEGER), 1) IN ({', '.join(repr(b) for b in sq.IUPAC[REV[j]])}) THEN 0 ELSE 1 END" for j in range(5))} AS INTEGER) AS r_mm_3p5_best,
-  {n_sql('GC', f'substr(sequence, CAST(fe % 100000 + 1 AS INTEGER), {len(FWD)})')} / {len(FWD)}.0::DOUBLE AS f_gc_end,
-  substr(sequence, CAST(greatest(0, least(n, greatest(0, re % 100000 + {len(REV) // 2} - 30) + 60) - 60) + 1 AS INTEGER), 60) AS r_endwin60 FROM x""")
+  CAST({letters(fwd, 'fb', range(f - 5, f))} AS INTEGER) AS f_mm_3p5_best, CAST({letters(rev, 'rb', range(5))} AS INTEGER) AS r_mm_3p5_best,
+  {n_sql('GC', f'substr(sequence, CAST(fe % 100000 + 1 AS INTEGER), {f})')} / {f}.0::DOUBLE AS f_gc_end,
+  substr(sequence, CAST(greatest(0, least(n, greatest(0, re % 100000 + {r // 2} - 30) + 60) - 60) + 1 AS INTEGER), 60) AS r_endwin60
+FROM (SELECT seq_id, sequence, length(sequence) AS n,
+  list_min([({mm_at(fwd, 'i')}) * 100000 + i for i in range(0, length(sequence) - {f} + 1)]) AS fb,
+  list_min([({mm_at(fwd, 'i')}) * 100000 + i for i in range(0, least(length(sequence) - {f}, 10) + 1)]) AS fe,
+  list_min([({mm_at(rev, 'i')}) * 100000 + i for i in range(0, length(sequence) - {r} + 1)]) AS rb,
+  list_min([({mm_at(rev, 'i')}) * 100000 + i for i in range(greatest(0, length(sequence) - {r} - 10), length(sequence) - {r} + 1)]) AS re FROM fx_catalog) x"""
+
+
+@query("f24_f25_primer_match", needs=("fx_catalog",), r="f_gc_end", sql=" UNION ALL ".join(map(primer_sql, MARKER_PRIMERS)))
 def _(t):
-    d = ft.primer_features(t.catalog, primers={"12S": MARKER_PRIMERS["12S"]})
+    d = ft.primer_features(t.catalog, primers=MARKER_PRIMERS)
     names = ["f_mm_best", "f_pos_best", "f_mm_end", "f_pos_end", "r_mm_best", "r_pos_best", "r_mm_end", "r_pos_end", "f_mm_3p5_best",
              "r_mm_3p5_best", "f_gc_end", "r_endwin60"]
-    return d.select("seq_id", *[F.col(f"feat_pr_12S_{x}").alias(x) for x in names])
+    one = lambda locus: F.struct(F.lit(locus).alias("locus"), *[F.col(f"feat_pr_{locus}_{x}").alias(x) for x in names])
+    return d.select("seq_id", F.explode(F.array(*map(one, MARKER_PRIMERS))).alias("p")).select("seq_id", "p.*")
 
 
 @query("f26_structure_stats", needs=RC, r="pair_frac", sql="""

@@ -121,5 +121,39 @@ def test_arrow_functions_take_null(spark):
     from ampliskew.functions import arrow
     df = spark.createDataFrame([(None, "AC"), ("ACGTACGTAA", "AC"), ("", None)], "s string, p string")
     z = arrow.zones(["AC"], [5], [0.5])
-    got = df.select(arrow.lz76("s"), arrow.dust("s"), arrow.zlib_ratio("s"), arrow.palindromes("s").n6, arrow.mismatch_profile("s", "p"), arrow.best_site("s", "p").mm, z("s")).collect()
+    got = df.select(arrow.lz76("s"), arrow.dust("s"), arrow.zlib_ratio("s"), arrow.palindromes("s").n6, arrow.primer_sites("s", "p", F.lit(0), F.lit(5)).mm, arrow.best_site("s", "p").mm, z("s")).collect()
     assert list(got[0]) == [None] * 7 and got[1][0] is not None and got[1][5] == 0
+
+
+def test_lz76_automaton_counts_the_same(monkeypatch):
+    import random
+    from ampliskew.functions import arrow
+    r = random.Random(2)
+    texts = ["", "A", "AB", "ABABABAB", "AAAA"] + ["".join(r.choice("ACGT"[:r.randint(1, 4)]) for _ in range(r.randint(2, 80))) for _ in range(300)]
+    texts += ["".join(r.choice(["ACG", "TTACG", "G"]) for _ in range(60)) for _ in range(60)]
+    want = [arrow.lz76_count(t) for t in texts]
+    monkeypatch.setattr(arrow, "LONG_TEXT", 2)
+    assert [arrow.lz76_count(t) for t in texts] == want
+    monkeypatch.undo()
+    assert arrow.lz76_count("".join(r.choice("ACGT") for _ in range(100_000))) > 5000
+
+
+def test_primer_sites_equal_brute_force(spark):
+    import random
+    from ampliskew.functions import arrow
+    r = random.Random(4)
+    seqs = [None, "", "AC", "ACGTNRé"] + ["".join(r.choice("ACGTN") for _ in range(r.randint(1, 40))) for _ in range(80)]
+    rows = [(i, s, p, lo, lo + r.randint(0, 12)) for i, s in enumerate(seqs) for p in ("ACGTY", "NNW", "GATTACAGATTACA") for lo in (0, 3)] + [(999, "ACGT", None, 0, 1), (998, "ACGT", "", 0, 1)]
+
+    def best(s, p, lo=0, hi=10**6):
+        at = [(sum(x not in "ACGT" or x not in sq.IUPAC[y] for x, y in zip(s[i:], p)), i) for i in range(len(s) - len(p) + 1) if lo <= i <= hi]
+        return min(at, default=None)
+
+    df = spark.createDataFrame(rows, "i int, s string, p string, lo int, hi int")
+    got = df.select("i", "s", "p", "lo", "hi", arrow.primer_sites("s", "p", "lo", "hi").alias("a"), arrow.best_site("s", "p").alias("b")).collect()
+    for x in got:
+        if x.s is None or not x.p:
+            assert tuple(x.b) == (None, None)
+            continue
+        any_, end = best(x.s, x.p), best(x.s, x.p, x.lo, x.hi)
+        assert tuple(x.a) == (any_ or (len(x.p), -1)) + (end or (len(x.p), -1)) and tuple(x.b) == (any_ or (None, None))
