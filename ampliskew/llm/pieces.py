@@ -19,7 +19,7 @@ SPACE = "▁"
 #: Longest text whose agenda is a plain list.
 SHORT, NEVER = 48, 1 << 60
 #: Chunks whose ids a worker keeps.
-HELD_CHUNKS = 500_000
+HELD_CHUNKS = 200_000
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
