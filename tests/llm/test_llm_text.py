@@ -28,6 +28,29 @@ def test_article_without_semantic_elements():
     assert html_text.main_text(page) == f"{LONG}\nShort.\n{LONG}"
 
 
+def test_names_are_hints():
+    """Names of what else is on a page, or of what isn't, don't empty an article; comments go under other names too."""
+    body = f"<p>{LONG}</p><p>{LONG}</p><p>Short end.</p>"
+    want = f"{LONG}\n{LONG}\nShort end."
+    for page in ('<body class="has-sidebar">%s</body>', '<body class="no-sidebar single">%s</body>', '<body class="cookie-free"><article>%s</article></body>', '<div class="entry-content social-ready">%s</div>',
+                 '<article class="post share-on">%s</article>', '<article class="ad-free has-comments">%s</article>', '<div class="post widget">%s</div>', '<body class="sidebar"><main id="menu">%s</main></body>',
+                 '<div class="widget"><article>%s</article></div>', '<div class="sidebar">%s</div>'):
+        assert html_text.main_text(page % body) == want, page
+    for name in ('id="responses"', 'class="reader-opinions"', 'class="comment-list"', 'id=comments', 'class="user-comments box"', 'class="sidebar-left"', 'class="ad-slot-2"'):
+        assert html_text.main_text(f"<article>{body}</article><section {name}><p>{LONG}</p><p>{LONG}</p></section>") == want, name
+        assert html_text.main_text(f"<article>{body}<div {name}><p>{LONG}</p></div></article>") == want, name
+
+
+def test_cut_succeeds_where_a_threshold_fails():
+    """A paragraph that is all link, and a bare word, are carried by their neighbours; the same link in a menu isn't."""
+    page = f'<div><a href="/m">{LONG}</a></div><div><p>{LONG}</p><p><a href="/x">{LONG}</a></p><p>{LONG}</p><p>Word</p><p>{LONG}</p></div>'
+    blocks = html_text.read_blocks(page)
+    gain = [html_text.score(b) for b in blocks]
+    assert [g > 0 for g in gain] == [False, True, False, True, False, True]
+    assert html_text.source_side(gain, html_text.edges(blocks)) == [False, True, True, True, True, True]
+    assert html_text.main_text(page) == "\n".join([LONG, LONG, LONG, "Word", LONG])
+
+
 def test_broken_markup_never_raises():
     r = random.Random(5)
     for _ in range(500):
