@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_facts
 from ..functions.cols import c, finite, number
 from ..functions.ranks import ordered_positions
+from ..session import keep
 
 
 def norm_file_id(x) -> Column:
@@ -70,12 +71,27 @@ def drop_counts(training: DataFrame, samples: DataFrame, min_support: int = 2, m
 
 
 def cap_rows(df: DataFrame, keys: list[str], caps: dict[str, int], row_key: str, seed: int = 1) -> DataFrame:
-    """At most caps[split] rows per stratum and split, chosen by hash order."""
-    u = stable_u01(F.concat(F.lit(f"{seed}|"), F.col(row_key)))
-    cap = F.lit(None).cast("int")
-    for k, v in caps.items():
-        cap = F.when(F.col("split") == k, v).otherwise(cap)
-    return ordered_positions(df.withColumn("_u", u), [*keys, "split"], "_u", row_key, "_pos", descending=False).where(F.col("_pos") <= cap).drop("_u", "_pos")
+    """At most caps[split] rows per stratum and split, those with the smallest hashes; splits without a cap keep all.
+
+    Rows are counted by the first 16 bits of their hash; where the counts of a stratum reach its cap lies its cut. Rows below
+    the cut stay where they are, and only those that share its 16 bits are sorted, by hash, md5 of the key and key.
+    """
+    if not caps:
+        return df
+    by = [*keys, "split"]
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_key)))
+    rows = keep(df.withColumn("_u", hashed).withColumn("_bin", F.conv(F.substring("_u", 1, 4), 16, 10).cast("int")))
+    cap = F.coalesce(*[F.when(F.col("split") == k, F.lit(v)) for k, v in caps.items()])
+    counts = rows.where(F.col("split").isin(*caps)).groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # 65536 lines at most
+    counts = counts.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("_c"))
+    full = (F.col("_below") < cap) & (cap <= F.col("_upto")) | (cap <= 0) & (F.col("_below") == 0)
+    cuts = counts.where(full).select(*by, F.col("_bin").alias("_cut"), (cap - F.col("_below")).alias("_room"))
+    met = join_facts(rows, cuts, by, row_key, "left")
+    sure = met.where(F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut"))).select(*df.columns)
+    edge = met.where(F.col("_bin") == F.col("_cut"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.substring("_u", 1, 8), F.md5(F.col(row_key).cast("string")), row_key))
+    return sure.unionByName(edge.withColumn("_place", place).where(F.col("_place") <= F.col("_room")).select(*df.columns))
 
 
 def topbias(df: DataFrame, keys: list[str], frac: float, row_key: str, y: str = "y") -> DataFrame:

@@ -180,18 +180,45 @@ def kept_reads(t):
     return rd.trim_filter_reads(r, samples_with_primers(t), 0.2, min_q=20, min_len=25, max_len=400, discard_untrimmed=True, max_n=0)
 
 
-@query("b01_trim_filter_reads")
+def best_sql(text, primer):
+    """Mismatches x 100000 + start of the best site of a primer, leftmost first; null in a shorter text."""
+    one = " + ".join(f"CASE WHEN substr({text}, CAST(i + {j + 1} AS INTEGER), 1) IN ({', '.join(repr(b) for b in sq.IUPAC[x])}) THEN 0 ELSE 1 END" for j, x in enumerate(primer))
+    return f"list_min([({one}) * 100000 + i for i in range(0, length({text}) - {len(primer)} + 1)])"
+
+
+def site_sql(text, side):
+    """Start of the site of the sample's primer, if at most a fifth of its letters mismatch."""
+    pick = {m: SHORT[m][0] if side == 0 else sq.revcomp_text(SHORT[m][1]) for m in ("12S", "16S")}
+    case = lambda f: f"CASE WHEN marker = '12S' THEN {f('12S')} ELSE {f('16S')} END"
+    return case(lambda m: best_sql(text, pick[m])), case(lambda m: str(len(pick[m]))), case(lambda m: str(int(len(pick[m]) * 0.2)))
+
+
+(B5, K5, E5), (B3, _, E3) = site_sql("s1", 0), site_sql("s2", 1)
+KEPT = f"""kq AS (SELECT r.sample_id, read_no, seq, marker FROM fx_reads r JOIN fx_samples s ON s.sample_id = r.sample_id),
+kl AS (SELECT read_no, 'f' AS side, unnest(string_split(seq, '')) AS x, generate_subscripts(string_split(seq, ''), 1) AS i FROM kq
+  UNION ALL SELECT read_no, 'r', unnest(string_split(reverse(seq), '')), generate_subscripts(string_split(seq, ''), 1) FROM kq),
+kc AS (SELECT read_no, side, i, sum(CASE x WHEN 'A' THEN -20 WHEN 'C' THEN 0 WHEN 'G' THEN -10 WHEN 'T' THEN 18 ELSE 20 END) OVER (PARTITION BY read_no, side ORDER BY i) AS s FROM kl),
+kn AS (SELECT *, min(CASE WHEN s < 0 THEN i END) OVER (PARTITION BY read_no, side) AS stop FROM kc),
+kt AS (SELECT read_no, coalesce(max(c) FILTER (side = 'f'), 0) AS a, coalesce(max(c) FILTER (side = 'r'), 0) AS z FROM (SELECT read_no, side, first(i ORDER BY s DESC, i) AS c FROM kn WHERE s > 0 AND (stop IS NULL OR i < stop) GROUP BY 1, 2) t GROUP BY 1),
+k1 AS (SELECT kq.*, substr(seq, CAST(coalesce(a, 0) + 1 AS INTEGER), CAST(greatest(length(seq) - coalesce(a, 0) - coalesce(z, 0), 0) AS INTEGER)) AS s1 FROM kq LEFT JOIN kt ON kt.read_no = kq.read_no),
+k2 AS (SELECT *, {B5} AS b5 FROM k1),
+k3 AS (SELECT *, b5 // 100000 <= {E5} AS c5, CASE WHEN b5 // 100000 <= {E5} THEN substr(s1, CAST(b5 % 100000 + {K5} + 1 AS INTEGER)) ELSE s1 END AS s2 FROM k2),
+k4 AS (SELECT *, {B3} AS b3 FROM k3),
+k5 AS (SELECT sample_id, read_no, coalesce(c5, false) AS cut_5p, coalesce(b3 // 100000 <= {E3}, false) AS cut_3p, CASE WHEN b3 // 100000 <= {E3} THEN left(s2, CAST(b3 % 100000 AS INTEGER)) ELSE s2 END AS s3 FROM k4),
+kept AS (SELECT sample_id, read_no, s3 AS seq, translate(s3, 'ACGTN', 'I5?#!') AS qual, cut_5p, cut_3p FROM k5 WHERE (cut_5p OR cut_3p) AND length(s3) BETWEEN 25 AND 400 AND s3 NOT LIKE '%N%')"""
+
+
+@query("b01_trim_filter_reads", needs=("fx_reads", "fx_samples"), sql=f"WITH {KEPT} SELECT * FROM kept")
 def _(t):
     return kept_reads(t)
 
 
-LONG = "SELECT * FROM fx_reads WHERE length(seq) >= 60"
-RET = f"""ret AS (SELECT s.sample_id, s.marker, s.species_scope, s.sample_type, coalesce(a.n, 0) AS raw_reads, coalesce(b.n, 0) AS filtered_reads, round(coalesce(b.n, 0) / CAST(a.n AS DOUBLE), 6) AS retention_rate
-FROM fx_samples s LEFT JOIN (SELECT sample_id, count(*) AS n FROM fx_reads GROUP BY 1) a USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) AS n FROM ({LONG}) l GROUP BY 1) b USING (sample_id))"""
+RET = f"""{KEPT}, ret AS (SELECT s.sample_id, s.marker, s.species_scope, s.sample_type, coalesce(a.n, 0) AS raw_reads, coalesce(b.n, 0) AS filtered_reads, round(coalesce(b.n, 0) / CAST(a.n AS DOUBLE), 6) AS retention_rate
+FROM fx_samples s LEFT JOIN (SELECT sample_id, count(*) AS n FROM fx_reads GROUP BY 1) a USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) AS n FROM kept GROUP BY 1) b USING (sample_id))"""
 
 
 def retention(t):
-    return rd.read_retention(t.reads, t.reads.where(F.length("seq") >= 60), t.samples.select("sample_id", "marker", "species_scope", "sample_type"))
+    return rd.read_retention(t.reads, kept_reads(t), t.samples.select("sample_id", "marker", "species_scope", "sample_type"))
 
 
 @query("b02_read_retention", needs=("fx_reads", "fx_samples"), sql=f"WITH {RET} SELECT * FROM ret")
@@ -202,7 +229,7 @@ def _(t):
 QC = "count(DISTINCT sample_id) AS n_samples, CAST(sum(raw_reads) AS BIGINT) AS raw_reads_total, CAST(sum(filtered_reads) AS BIGINT) AS filtered_reads_total, avg(retention_rate) AS mean_retention_rate, median(retention_rate) AS median_retention_rate"
 
 
-@query("b03_qc_report", needs=("fx_reads", "fx_samples"), r="mean_retention_rate median_retention_rate", sql=f"""
+@query("b03_qc_report", needs=("fx_reads", "fx_samples"), nudge=1e-9, r="mean_retention_rate median_retention_rate", sql=f"""
 WITH {RET} SELECT 'overall' AS level, NULL AS marker, NULL AS species_scope, NULL AS sample_type, {QC} FROM ret UNION ALL SELECT 'marker', marker, NULL, NULL, {QC} FROM ret GROUP BY marker
 UNION ALL SELECT 'scope', NULL, species_scope, sample_type, {QC} FROM ret GROUP BY species_scope, sample_type""")
 def _(t):

@@ -198,3 +198,20 @@ def test_join_facts_keeps_rows(spark):
     got = {(r.id, r.v) for r in join_facts(rows, facts, "s", "id").collect()}
     assert got == {(i, "ab"[i % 3]) for i in range(1000) if i % 3 < 2}
     assert join_facts(rows, facts, "s", "id", "left").count() == 1000
+
+
+def test_capped_rows_are_those_of_smallest_hash(spark):
+    """Strata below, at and above their cap, a cap of nothing, uncapped splits, and many rows inside one hash bin."""
+    from hashlib import md5
+    rows = [(g, split, f"{g}{split}{i}") for g, n in (("a", 5), ("b", 40), ("hot", 900)) for split in ("train", "val", "test") for i in range(n)] + [("b", "train", "bval0")] * 3
+    df = spark.createDataFrame(rows, "g string, split string, id string")
+    caps = {"train": 40, "val": 0}
+    key = lambda i: (md5(f"1|{i}".encode()).hexdigest()[:8], md5(i.encode()).hexdigest(), i)
+    want = []
+    for g in ("a", "b", "hot"):
+        for split in ("train", "val", "test"):
+            own = sorted((i for a, b, i in rows if (a, b) == (g, split)), key=key)
+            want += [(g, split, i) for i in own[:caps.get(split, len(own))]]
+    got = sorted(map(tuple, ds.cap_rows(df, ["g"], caps, "id").collect()))
+    assert got == sorted(want) and ds.cap_rows(df.limit(0), ["g"], caps, "id").count() == 0
+    assert ds.cap_rows(df, ["g"], {}, "id").count() == len(rows)
