@@ -122,6 +122,34 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
         d.write.mode(mode).csv(path, sep="\t", header=True, compression="gzip")
 
 
+def write_ordered(df: DataFrame, path: str, by: list[str], columns: list[str] | None = None, rows_per_file: int = 0, mode: str = "error") -> DataFrame:
+    """TSV.gz files without headers that are sorted one by one and, by name, one after the other; returns their ranges.
+
+    Rows are range-partitioned by ``by`` (ascending, null first) and, where they tie, by their hash, so a hot value is
+    spread over files; each task sorts and writes its range. Ranges: file, n, first and last (structs of ``by``), which
+    tell a reader the files that a key can be in.
+    """
+    d = df.select(*columns) if columns else df
+    lost = [x for x in by if x not in d.columns]
+    if lost:
+        raise ValueError(f"not among the columns: {lost}")
+    tie = fresh_name(d, "_tie")
+    order = [*map(F.col, by), F.col(tie)]
+    d = d.withColumn(tie, F.xxhash64(*d.columns)).repartitionByRange(*order).sortWithinPartitions(*order).drop(tie)
+    w = d.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    w.csv(path, sep="\t", header=False, compression="gzip", emptyValue='""', nullValue="")
+    back = df.sparkSession.read.schema(d.schema).csv(path, sep="\t", header=False, emptyValue="", nullValue="")
+    key = F.struct(*by)
+    return (back.groupBy(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).orderBy("file"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def table_lines(df: DataFrame, columns: list[str], sep: str = "\t") -> DataFrame:
     """Rows as delimited lines in a fixed column order; NULL is blank."""
     return df.select(F.concat_ws(sep, *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in columns]).alias("value"))

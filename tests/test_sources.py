@@ -47,6 +47,25 @@ def test_fasta_and_table_round_trip(spark, tmp_path):
     assert tables.read_fasta(spark, str(tmp_path / "f")).count() == 2
 
 
+def test_ordered_files_are_sorted_by_name(spark, tmp_path):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 == 0 else f"k{i * 7919 % 1000:03d}", i % 7, "" if i % 11 == 0 else f"v{i}") for i in range(1500)] + [("hot", 1, "same")] * 5
+    d = spark.createDataFrame(rows, "k string, n int, v string").repartition(4)
+    key = lambda r: (r[0] is not None, r[0] or "", r[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would make one file
+    for most in (0, 100):
+        path = tmp_path / f"o{most}"
+        ranges = tables.write_ordered(d, str(path), ["k", "n"], rows_per_file=most).collect()
+        lines = [x for f in sorted(path.glob("part-*")) for x in gzip.open(f, "rt").read().splitlines()]
+        got = [(a or None, int(b), "" if c == '""' else c) for a, b, c in (x.split("\t") for x in lines)]
+        assert list(map(key, got)) == sorted(map(key, rows)) and sorted(got, key=repr) == sorted(rows, key=repr)
+        assert sum(r.n for r in ranges) == len(rows) and [r.file for r in ranges] == sorted(f.name for f in path.glob("part-*")) and len(ranges) > 1
+        assert all(key(a.last) <= key(b.first) for a, b in zip(ranges, ranges[1:])) and (not most or max(r.n for r in ranges) <= most)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tables.write_ordered(d.limit(0), str(tmp_path / "none"), ["k"]).count() == 0
+    with pytest.raises(ValueError, match="not among"):
+        tables.write_ordered(d, str(tmp_path / "x"), ["z"])
+
+
 def test_manifest_prefixes(spark):
     s = spark.createDataFrame([("H1", "MP1"), ("H12", "MP12"), ("H3", "MP3")], "file_id string, sample_name string")
     f = spark.createDataFrame([("/r/H1.fastq", 10, 1, "raw"), ("/r/H12.fastq", 10, 1, "raw"), ("/t/H12.fq", 10, 1, "trimmed")], "path string, size long, depth int, source_dir string")
