@@ -1,7 +1,7 @@
 """Exact ranks, row numbers and quantiles inside groups of any size.
 
 ``row_number() OVER (PARTITION BY g ORDER BY x)`` sorts a whole group in one task. A group may hold
-a third of all rows here (one sample, one feature, one pair), so the group is first cut into *cells*
+a third of all rows here (one sample, one feature, one pair), so a group of over TASK_ROWS rows is first cut into *cells*
 that follow the order of x: equal values are collapsed into counts map-side, the counts per cell are
 summed up over the few cells of the group, and only the rows of one cell are sorted together.
 """
@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 from .cols import c
 
 PREC = Window.unboundedPreceding
+#: Rows of a group up to which one task sorts it whole; larger groups are cut into cells. Results are the same.
+TASK_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, keys) -> bool:
+    """Whether no group of ``df`` has over TASK_ROWS rows: one number of a count that is combined before its shuffle."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= TASK_ROWS
+
+
+def mean_rank(keys, value) -> Column:
+    """Average rank inside whole groups."""
+    w = Window.partitionBy(*keys)
+    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
 def value_cells(x) -> tuple[Column, Column]:
@@ -62,11 +75,13 @@ def value_histogram(df: DataFrame, keys, value: str) -> DataFrame:
 def average_ranks(df: DataFrame, keys, values: dict[str, str], ties: bool = False) -> DataFrame:
     """Ascending ranks inside ``keys``, ties share their mean rank; ``values`` maps value columns to rank columns.
 
-    Rows with NULL in a ranked column are dropped. All histograms are taken from ``df`` itself, so ranking two columns
+    Counts the groups first (see ``fits``), so hand over rows that are cheap to read again. Rows with NULL in a ranked column are dropped. All histograms are taken from ``df`` itself, so ranking two columns
     reads it three times and nests nothing.
     """
     keys = list(keys)
     df = df.dropna(subset=list(values))
+    if not ties and fits(df, keys):
+        return df.withColumns({name: mean_rank(keys, v) for v, name in values.items()})
     out = df
     for v, name in values.items():
         h = value_histogram(df, keys, v)
@@ -78,10 +93,14 @@ def average_ranks(df: DataFrame, keys, values: dict[str, str], ties: bool = Fals
 def ordered_positions(df: DataFrame, keys, value, tie, out: str, descending: bool = True) -> DataFrame:
     """1-based position of every row inside ``keys`` by ``value``, then by md5 of ``tie``, then by ``tie``.
 
-    Same as row_number() with that order, without sorting a whole group in one task: ties on the value are
+    Same as row_number() with that order, which it is for groups that fit in a task. Larger ones are never sorted whole: ties on the value are
     spread over 65536 buckets by the leading hex digits of the hash, which keeps the order.
     """
     keys = list(keys)
+    if fits(df, keys):
+        first = c(value).cast("double")
+        w = Window.partitionBy(*keys).orderBy(first.desc() if descending else first.asc(), F.md5(c(tie).cast("string")), c(tie))
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     df = (df.withColumn("_v", c(value).cast("double")).withColumn("_t", F.md5(c(tie).cast("string")))
           .withColumn("_b", F.substring("_t", 1, 4)))
     hist = df.groupBy(*keys, "_v", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.joins import join_facts
-from ..functions.ranks import average_ranks, cumulate, value_histogram
+from ..functions.ranks import average_ranks, cumulate, fits, mean_rank, value_histogram
 from ..session import keep
 
 
@@ -20,8 +20,9 @@ def regression_metrics(pred: DataFrame, keys: list[str], mult: str | None = None
     d = pred.select(*keys, F.col("y_true").alias("y"), F.col("y_pred").alias("p"), (F.col(mult) if mult else F.lit(1)).cast("double").alias("m")).dropna(subset=["y", "p"])
     if mult is None:
         d = keep(d)   # read three times below; resamples arrive cut already
-    r = d
-    for v in ("y", "p"):
+    whole = mult is None and fits(d, keys)
+    r = d.withColumns({f"r{v}": mean_rank(keys, v) for v in ("y", "p")}) if whole else d
+    for v in () if whole else ("y", "p"):
         h = cumulate(d.groupBy(*keys, v).agg(F.sum("m").alias("_n")), keys, [v])
         r = r.join(h.select(*keys, v, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(f"r{v}")), [*keys, v])
     y, p, m, ry, rp = (F.col(x) for x in ("y", "p", "m", "ry", "rp"))

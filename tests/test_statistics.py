@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ampliskew.functions import ranks, special
@@ -146,8 +147,10 @@ def test_splits_do_not_depend_on_partitioning(spark):
     assert a == {r.id: r.split for r in ds.split_by_hash(d.coalesce(1), "id").collect()} and set(a.values()) == {"train", "val", "test"}
 
 
-def test_ranks_of_narrow_tiny_and_tied_values(spark):
-    """Cells follow the data's scale: no cell holds more than a small share of any of these groups."""
+@pytest.mark.parametrize("rows", [ranks.TASK_ROWS, 10])
+def test_ranks_of_narrow_tiny_and_tied_values(spark, monkeypatch, rows):
+    """In whole groups and in cells. Cells follow the data's scale: no cell holds more than a small share of any of these groups."""
+    monkeypatch.setattr(ranks, "TASK_ROWS", rows)
     r = np.random.default_rng(1)
     n = 4000
     values = {"tiny": r.uniform(0, 1e-9, n), "times": 1.7e9 + r.integers(0, 1_000_000, n), "negative": -np.exp(r.normal(size=n) * 20), "unit": r.uniform(size=n), "tied": np.where(np.arange(n) % 10 < 9, 1.0, r.normal(size=n))}
@@ -215,3 +218,13 @@ def test_capped_rows_are_those_of_smallest_hash(spark):
     got = sorted(map(tuple, ds.cap_rows(df, ["g"], caps, "id").collect()))
     assert got == sorted(want) and ds.cap_rows(df.limit(0), ["g"], caps, "id").count() == 0
     assert ds.cap_rows(df, ["g"], {}, "id").count() == len(rows)
+
+
+def test_metrics_of_whole_and_cut_groups(spark, monkeypatch):
+    p = predictions()
+    d = spark.createDataFrame(p)
+    whole = ev.regression_metrics(d, ["g"]).orderBy("g").toPandas()
+    for (g, own), (_, row) in zip(p.groupby("g"), whole.iterrows()):
+        assert np.allclose([row.r2, row.rmse, row.mae, row.spearman], brute_metrics(own))
+    monkeypatch.setattr(ranks, "TASK_ROWS", 10)
+    pd.testing.assert_frame_equal(ev.regression_metrics(d, ["g"]).orderBy("g").toPandas(), whole)
