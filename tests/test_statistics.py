@@ -194,13 +194,18 @@ def test_fused_statistics_equal_separate_ones(spark):
     pd.testing.assert_frame_equal(one.sort_values(key).reset_index(drop=True), two.sort_values(key).reset_index(drop=True))
 
 
-def test_join_facts_keeps_rows(spark):
-    from ampliskew.functions.joins import join_facts
+@pytest.mark.parametrize("bound,rows_a_task", [(100_000, 10**6), (0, 10**6), (0, 100)])
+def test_join_facts_keeps_rows(spark, monkeypatch, bound, rows_a_task):
+    """Broadcast, plain and salted."""
+    from ampliskew.functions import joins
+    monkeypatch.setattr(joins, "FACTS", bound)
+    monkeypatch.setattr(joins, "TASK_ROWS", rows_a_task)
     rows = spark.range(1000).select((F.col("id") % 3).alias("s"), "id")
     facts = spark.createDataFrame([(0, "a"), (1, "b")], "s long, v string")
-    got = {(r.id, r.v) for r in join_facts(rows, facts, "s", "id").collect()}
+    got = {(r.id, r.v) for r in joins.join_facts(rows, facts, "s", "id").collect()}
     assert got == {(i, "ab"[i % 3]) for i in range(1000) if i % 3 < 2}
-    assert join_facts(rows, facts, "s", "id", "left").count() == 1000
+    assert joins.join_facts(rows, facts, "s", "id", "left").count() == 1000
+
 
 
 def test_capped_rows_are_those_of_smallest_hash(spark):
