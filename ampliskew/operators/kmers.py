@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,14 @@ from ..functions.joins import join_facts
 from ..functions import seq as sq
 from ..functions.cols import ratio0
 from ..functions.ranks import top_per_group
-from ..functions.words import Rolled, spelled
+from ..functions.words import MAX_K, Rolled, spelled
 from .features import spread
 
 #: Rows of one Arrow batch of words.
 ROWS = 100_000
+#: Rows whose words are added up together, and sums that a task holds before it hands them on.
+PAIRS, HELD_SUMS = 2000, 8_000_000
+BASE4 = str.maketrans("ACGT", "0123")
 
 
 def _count_words(df: DataFrame, tables: list[tuple[dict, Column]]) -> DataFrame:
@@ -228,6 +232,63 @@ def sample_kmer_norm(ab: DataFrame, kmers: DataFrame, vocab: DataFrame, totals:
     return join_facts(s, totals.select("sample_id", "total"), "sample_id", "kmer").where("total > 0").withColumn("norm_per_read", F.col("sum_count") / F.col("total"))
 
 
+def sample_kmer_sums(ab: DataFrame, catalog: DataFrame, vocab: DataFrame, totals: DataFrame, seq: str = "sequence", w: int = 30) -> DataFrame:
+    """G12 straight from sequences: as ``sample_kmer_norm``, without a row for every word of every sequence and sample.
+
+    Each task rolls the words of its sequences once, adds reads x occurrences up by sample and vocabulary word, and sends
+    the sums. ``vocab`` is capped by scope and k (G03), so it is broadcast; one with letters beyond A, C, G, T takes
+    the other way.
+    """
+    words = vocab.select("scope", "k", "kmer").distinct().orderBy("scope", "k", "kmer").toArrow()
+    scope, k, kmer = (words.column(i).to_pylist() for i in range(3))
+    if not kmer or any(set(x) - set("ACGT") for x in kmer) or max(k) > MAX_K:
+        return sample_kmer_norm(ab, kmers_long(catalog, sorted(set(k)), sorted(set(scope)), seq, w), vocab, totals)
+    size, place = len(kmer), {x: np.full(4 ** x[1], -1, "i4") for x in zip(scope, k)}
+    for i, (s, n, text) in enumerate(zip(scope, k, kmer)):
+        place[s, n][int(text.translate(BASE4), 4)] = i
+    src = ab.select("sample_id", "seq_id", "count").join(catalog.select("seq_id", seq), "seq_id").select("sample_id", F.col("count").cast("double").alias("c"), seq)
+    kind = src.schema["sample_id"].dataType.simpleString()
+
+    def out(held, kind):
+        for sample, sums in held.items():
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([sample] * len(used), kind), pa.array(used.astype("i4")), pa.array(sums[used])], ["sample_id", "i", "x"])
+
+    def run(batches):
+        held, own_kind = {}, pa.string()
+        for whole in batches:
+            own_kind = whole.schema.field(0).type
+            for a in range(0, whole.num_rows, PAIRS):
+                b = whole.slice(a, PAIRS)
+                texts, samples = b.column(2).dictionary_encode(), b.column(0).dictionary_encode()
+                rolled, parts = Rolled(texts.dictionary, w), []
+                for (s, n), at in sorted(place.items(), key=lambda x: x[0][1]):
+                    owner, code, times, _ = rolled.counted(n, s)
+                    on = at[code] >= 0
+                    parts.append((owner[on], at[code[on]], times[on]))
+                owner, word, times = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "i8"),) * 3
+                order = np.argsort(owner, kind="stable")
+                word, times = word[order], times[order]
+                length = np.bincount(owner, minlength=len(texts.dictionary))
+                first = np.cumsum(length) - length
+                ok = pc.and_(pc.is_valid(b.column(0)), pc.is_valid(b.column(2))).to_numpy(zero_copy_only=False)
+                row, sample = texts.indices.fill_null(0).to_numpy()[ok], samples.indices.fill_null(0).to_numpy()[ok]
+                many = length[row]
+                at = np.arange(many.sum()) + np.repeat(first[row] - (np.cumsum(many) - many), many)
+                sums = np.bincount(np.repeat(sample.astype("i8"), many) * size + word[at], times[at] * np.repeat(b.column(1).to_numpy()[ok], many), len(samples.dictionary) * size).astype("f8")  # whole numbers without any row
+                for name, own in zip(samples.dictionary.to_pylist(), sums.reshape(-1, size)):
+                    held[name] = held[name] + own if name in held else own
+            if len(held) * size > HELD_SUMS:
+                yield from out(held, own_kind)
+                held = {}
+        yield from out(held, own_kind)
+
+    sums = src.mapInArrow(run, f"sample_id {kind}, i int, x double").groupBy("sample_id", "i").agg(F.sum("x").cast("long").alias("sum_count"))
+    names = ab.sparkSession.createDataFrame(words.append_column("_i", pa.array(np.arange(size, dtype="i4"))))
+    s = sums.join(F.broadcast(names), F.col("i") == F.col("_i")).select("sample_id", "scope", "k", "kmer", "sum_count")
+    return join_facts(s, totals.select("sample_id", "total"), "sample_id", "kmer").where("total > 0").withColumn("norm_per_read", F.col("sum_count") / F.col("total"))
+
+
 def pair_kmer_log2fc(norm: DataFrame, pairs: DataFrame, eps: float = 1e-12) -> DataFrame:
     """log2 ratio of the two sides for k-mers present on either; k-mers on neither side are 0 and left out."""
     side = F.explode(F.array(F.struct(F.col("yes_file_id").alias("sample_id"), F.lit(1).alias("yes")),

@@ -152,7 +152,7 @@ NN = ("fx_catalog", "fx_counts", "fx_totals", "fx_pairs")
 
 
 def norm(t):
-    return km.sample_kmer_norm(t.counts, km.kmers_long(t.catalog), vocab(t), bias.sample_totals(t.counts))
+    return km.sample_kmer_sums(t.counts, t.catalog, vocab(t), bias.sample_totals(t.counts))
 
 
 @query("g12_sample_kmer_norm", needs=NN, r="norm_per_read", sql=f"WITH {NORM} SELECT * FROM nm")

@@ -52,3 +52,15 @@ def test_slices_of_batches_and_nulls_with_bytes():
     hidden = pa.StringArray.from_buffers(2, pa.py_buffer(np.asarray([0, 4, 8], "i4")), pa.py_buffer(b"ACGTCCCC"), pa.py_buffer(b"\x02"))
     owner, word, n, odd = Rolled(hidden).counted(4, "all")
     assert owner.tolist() == [1] and spelled(4)[int(word[0])].as_py() == "CCCC"
+
+
+@pytest.mark.parametrize("pairs", [2000, 3])
+def test_sample_sums_equal_joined_words(spark, catalog, monkeypatch, pairs):
+    monkeypatch.setattr(km, "PAIRS", pairs)
+    ab = spark.createDataFrame([(s, i, i * 7 % 5 + 1) for i in range(len(SEQS)) for s in ("a", "b", "c") if (i + ord(s)) % 3] + [("none", 0, 4)], "sample_id string, seq_id int, count long")
+    totals = ab.groupBy("sample_id").agg(F.sum("count").alias("total"))
+    vocab = km.select_vocab(km.kmer_table(catalog), 1, 50)
+    plain = vocab.where(~F.col("kmer").rlike("[^ACGT]"))
+    rows = lambda d: sorted(map(tuple, d.select("sample_id", "scope", "k", "kmer", "sum_count", "norm_per_read").collect()))
+    for v in (plain, vocab, plain.limit(0)):
+        assert rows(km.sample_kmer_sums(ab, catalog, v, totals)) == rows(km.sample_kmer_norm(ab, km.kmers_long(catalog), v, totals))
