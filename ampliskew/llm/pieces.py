@@ -18,8 +18,8 @@ from .wordcache import ChunkCache, encoded
 SPACE = "▁"
 #: Longest text whose agenda is a plain list.
 SHORT, NEVER = 48, 1 << 60
-#: Chunks whose ids a worker keeps.
-HELD_CHUNKS = 200_000
+#: Chunks whose ids a worker keeps (about 200 bytes each); only speed and memory depend on it.
+HELD_CHUNKS = 1_000_000
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -32,7 +32,7 @@ class MergeEncoder:
     blanks than single ones go through the agenda whole and are compared too.
     """
 
-    def __init__(self, model: str, verify: bool = True):
+    def __init__(self, model: str, verify: bool = True, held: int = HELD_CHUNKS):
         import sentencepiece
 
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -50,7 +50,7 @@ class MergeEncoder:
         self.order = {p: place[s] for p, s in score.items()}
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.cut = not crosses and not any("\n" in p for p in self.id) and bool(self.byte_id)
-        self.cache = ChunkCache(self._fresh, HELD_CHUNKS)
+        self.cache = ChunkCache(self._fresh, held)
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a normalised text."""
@@ -147,11 +147,11 @@ class MergeEncoder:
 
 
 @lru_cache(2)
-def encoder(model: str, verify: bool) -> MergeEncoder:
-    return MergeEncoder(model, verify)
+def encoder(model: str, verify: bool, held: int) -> MergeEncoder:
+    return MergeEncoder(model, verify, held)
 
 
-def piece_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
+def piece_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True, held: int = HELD_CHUNKS) -> DataFrame:
     """``id_col``, ids array<int> and decoded string of every row; no begin or end ids.
 
     ``model`` is a path that every executor can open. Null texts count as empty: no ids, decoded empty. Null and
@@ -161,7 +161,7 @@ def piece_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     src = docs.select(col(id_col).alias("key"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        enc = encoder(model, verify)
+        enc = encoder(model, verify, held)
         for whole in batches:
             schema = pa.schema([("key", whole.schema.field(0).type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
             for batch in slices(whole, 1):
