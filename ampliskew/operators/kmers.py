@@ -164,6 +164,67 @@ def _placed(seq, k, n, head, tail, bins) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
+def region_kmer_table(catalog: DataFrame, ks=(6, 7, 8), head: int = 30, tail: int = 30, bins: int = 3, strict: bool = True, seq: str = "sequence") -> DataFrame:
+    """G07 (``strict``) or G08 straight from sequences: k, region, kmer, n_seqs, x.
+
+    Each task rolls its sequences' words as numbers, tells their regions by their starts and adds up counters of word and
+    region; only those in use are sent on, so what is shuffled doesn't grow with the sequences. Words with N or across a
+    border are left out; words with other letters are kept as they are. G08's middle parts take the remainder first.
+    """
+    ks, names = sorted(ks), [f"head{head}", *[f"mid{i}" for i in range(bins)], f"tail{tail}"]
+    schema = pa.schema([("k", pa.int32()), ("region", pa.string()), ("kmer", pa.string()), ("n_seqs", pa.int64()), ("x", pa.int64())])
+    many = len(names)
+
+    def placed(start, size, k):
+        """(windows, regions) of each start; a window of G08 may lie in several segments of a short sequence."""
+        if strict:
+            border = np.maximum(size - tail, 0)
+            room = border - head - k + 1
+            mid = np.minimum((start - head) * bins // np.maximum(room, 1), bins - 1)
+            where = np.where(start + k <= head, 0, np.where(start >= border, many - 1, np.where((start >= head) & (start + k <= border) & (room > 0), 1 + mid, -1)))
+            on = np.flatnonzero(where >= 0)
+            return on, where[on]
+        middle = np.maximum(size - head - tail, 0)
+        base, rest = middle // bins, middle % bins
+        cuts = [head + base * b + np.minimum(rest, b) for b in range(bins + 1)]
+        inside = [start + k <= head, *((start >= a) & (start + k <= np.minimum(z, size)) for a, z in zip(cuts, cuts[1:])), start >= size - tail]
+        on = [np.flatnonzero(x) for x in inside]
+        return np.concatenate(on), np.repeat(np.arange(many), [len(x) for x in on])
+
+    def run(batches):
+        seen = {k: np.zeros((2, many * 4**k), "i8") for k in ks}
+        odd_df, odd_n = Counter(), Counter()
+        for whole in batches:
+            for a in range(0, whole.num_rows, PAIRS):
+                rolled = Rolled(whole.column(0).slice(a, PAIRS), head)
+                for k in ks:
+                    code = rolled._roll(k)
+                    n = len(code)
+                    start, size, owner = rolled.start[:n], rolled.size[:n], rolled.owner[:n]
+                    inside = (start + k <= size) & (rolled.skips[k:k + n] == rolled.skips[:n])
+                    at = np.flatnonzero(inside)
+                    on, region = placed(start[at], size[at], k)
+                    on = at[on]
+                    packed = rolled.others[k + on] == rolled.others[on]
+                    word = region[packed] * 4**k + code[on[packed]]
+                    seen[k][1] += np.bincount(word, minlength=many * 4**k)
+                    each = np.unique(owner[on[packed]] * (many * 4**k) + word) % (many * 4**k)
+                    seen[k][0] += np.bincount(each, minlength=many * 4**k)
+                    texts = Counter((int(owner[i]), int(r), rolled.data[i:i + k].tobytes().decode("latin-1")) for i, r in zip(on[~packed].tolist(), region[~packed].tolist()))
+                    for (_, r, text), times in texts.items():
+                        odd_df[k, r, text] += 1
+                        odd_n[k, r, text] += times
+        for k, (df, x) in seen.items():
+            used = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, "i4")), pa.array(names).take(pa.array(used >> 2 * k)), spelled(k).take(pa.array(used & (4**k - 1))), pa.array(df[used]), pa.array(x[used])], schema=schema)
+        if odd_df:
+            k, r, text = zip(*odd_df)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([names[i] for i in r]), pa.array(text), pa.array(list(odd_df.values()), pa.int64()), pa.array([odd_n[i] for i in odd_df], pa.int64())], schema=schema)
+
+    parts = catalog.select(seq).mapInArrow(run, "k int, region string, kmer string, n_seqs long, x long")
+    return parts.groupBy("k", "region", "kmer").agg(F.sum("n_seqs").alias("n_seqs"), F.sum("x").alias("x"))
+
+
 def feature_name(k="k", region="region", kmer="kmer") -> Column:
     return F.concat(F.lit("k"), F.col(k), F.lit("_"), F.col(region), F.lit("_"), F.col(kmer))
 
