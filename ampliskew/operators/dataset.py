@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_facts
 from ..functions.cols import c, finite, number
-from ..functions.ranks import ordered_positions
+from ..functions.ranks import cumulate, ordered_positions
 from ..session import keep
 
 
@@ -98,10 +98,21 @@ def cap_rows(df: DataFrame, keys: list[str], caps: dict[str, int], row_key: str,
 
 
 def topbias(df: DataFrame, keys: list[str], frac: float, row_key: str, y: str = "y") -> DataFrame:
-    """ceil(f*n) rows of largest |y|; ties at the cut by hash."""
-    d = ordered_positions(df.withColumn("_a", F.abs(y)), keys, "_a", row_key, "_pos")
-    n = d.groupBy(*keys).agg(F.max("_pos").alias("_n"))
-    return join_facts(d, n, keys, row_key).where(F.col("_pos") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(frac)))).drop("_a", "_pos", "_n")
+    """ceil(f*n) rows of largest |y|; ties at the cut by hash.
+
+    The cut of a group lies where the counts of its values, largest first, reach ceil(f*n). Only rows from there on are
+    stored, and only those that tie at a cut without room for all are put in order; NULL comes last.
+    """
+    a = df.withColumn("_a", F.abs(y).cast("double"))
+    h = cumulate(a.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_n")), keys, ["_a"], descending=True)
+    k = h.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") * F.lit(frac))).alias("_k"))
+    cut = h.join(k, keys).where((F.col("_below") < F.col("_k")) & (F.col("_k") <= F.col("_below") + F.col("_n")))
+    cut = cut.select(*keys, F.col("_a").alias("_cut"), (F.col("_k") - F.col("_below")).alias("_room"), F.col("_n").alias("_tied"))
+    tied = F.col("_a").eqNullSafe(F.col("_cut"))
+    top = keep(join_facts(a, cut, keys, row_key).where(tied | (F.col("_a") > F.col("_cut")) | F.col("_cut").isNull()))
+    sure = top.where(~tied | (F.col("_room") == F.col("_tied"))).select(*df.columns)
+    edge = top.where(tied & (F.col("_room") < F.col("_tied")))
+    return sure.unionByName(ordered_positions(edge, keys, F.lit(0.0), row_key, "_pos").where(F.col("_pos") <= F.col("_room")).select(*df.columns))
 
 
 def topbias_threshold(df: DataFrame, key: str, frac: float, y: str = "y") -> DataFrame:
