@@ -128,16 +128,32 @@ def topbias_threshold(df: DataFrame, key: str, frac: float, y: str = "y") -> Dat
 
 
 def resplit(df: DataFrame, keys: list[str], row_key: str, val: float = 0.1, test: float = 0.1, min_val: int = 1, min_test: int = 1, seed: int = 1) -> DataFrame:
-    """Random split with minimum sizes; datasets without room for a training row are left out."""
-    d = ordered_positions(df.withColumn("_u", stable_u01(F.concat(F.lit(f"{seed}|"), F.col(row_key)))), keys, "_u", row_key, "_pos", descending=False)
-    n = d.groupBy(*keys).agg(F.max("_pos").alias("_n")).where(F.col("_n") >= 1 + min_val + min_test)
+    """Random split with minimum sizes; datasets without room for a training row are left out.
+
+    Rows are counted by the first 16 bits of their hash, as in ``cap_rows``: the counts tell in which bins the training and the
+    validation rows end, rows of other bins are split where they are, and only those two bins of a dataset are sorted.
+    """
+    df = keep(df.dropna(subset=keys))
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_key)))
+    rows = df.withColumn("_bin", F.coalesce(F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int"), F.lit(-1)))
+    counts = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # 65537 lines at most
+    counts = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(Window.partitionBy(*keys))}).where(F.col("_n") >= 1 + min_val + min_test)
     nv, nt = F.greatest(F.lit(min_val), F.rint(F.col("_n") * val)), F.greatest(F.lit(min_test), F.rint(F.col("_n") * test))
     room = F.col("_n") - nv - nt >= 1
-    n = n.withColumns({"_nv": F.when(room, nv).otherwise(min_val), "_nt": F.when(room, nt).otherwise(min_test)})
-    d = join_facts(d, n, keys, row_key)
-    left = F.col("_n") - F.col("_pos")
-    split = F.when(left < F.col("_nt"), "test").when(left < F.col("_nt") + F.col("_nv"), "val").otherwise("train")
-    return d.withColumn("split", split).drop("_u", "_pos", "_n", "_nv", "_nt")
+    counts = counts.withColumn("_e2", F.col("_n") - F.when(room, nt).otherwise(min_test)).withColumn("_e1", F.col("_e2") - F.when(room, nv).otherwise(min_val))
+    ends = []
+    for i in "12":  # 1: last training row, 2: last validation row
+        past = F.col("_upto") > F.col(f"_e{i}")
+        bin_, left = F.when(past, F.col("_bin")), F.col(f"_e{i}") - F.col("_upto") + F.col("_c")
+        ends += [F.coalesce(F.min(bin_), F.lit(1 << 16)).alias(f"_cut{i}"), F.min_by(left, bin_).alias(f"_room{i}")]
+    met = join_facts(rows, counts.groupBy(*keys).agg(*ends), keys, row_key)
+    at_cut = F.col("_bin").isin(F.col("_cut1"), F.col("_cut2"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(F.substring(hashed, 1, 8), F.md5(F.col(row_key).cast("string")), row_key))
+    within = lambda i: (F.col("_bin") < F.col(f"_cut{i}")) | (F.col("_bin") == F.col(f"_cut{i}")) & (F.col("_place") <= F.col(f"_room{i}"))
+    split = F.when(within(1), "train").when(within(2), "val").otherwise("test")
+    placed = met.where(~at_cut).withColumn("_place", F.lit(0)).unionByName(met.where(at_cut).withColumn("_place", place))
+    return placed.withColumn("split", split).select(*[c for c in df.columns if c != "split"], "split")
 
 
 def variant_columns(features: list[str], variant: str) -> list[str]:
