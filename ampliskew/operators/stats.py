@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.joins import join_facts
 from ..functions.cols import c, finite, number, ratio
 from ..functions.ranks import average_ranks, cumulate, exact_quantiles, histogram_quantiles, top_per_group
 from ..functions.special import corr_p, normal_two_sided
+from ..functions.words import Rolled, spelled
 from ..session import keep
 
 PAIR_META = ["pair_id", "species", "n_individuals", "locus", "yes_file_id", "no_file_id"]
@@ -155,10 +157,83 @@ def sparse_kmer_stats(training: DataFrame, kmers: DataFrame) -> DataFrame:
     f = t.join(kmers.select("seq_id", "feature", "x"), "seq_id").groupBy("pair_id", "feature").agg(
         F.sum(w * x).alias("_x"), F.sum(w * x * x).alias("_xx"), F.sum(w * x * y).alias("_xy"), F.sum(F.col("cy") * x).alias("_sy"),
         F.sum(F.col("cy") * x * x).alias("_qy"), F.sum(F.col("cn") * x).alias("_sn"), F.sum(F.col("cn") * x * x).alias("_qn"))
+    return _sparse_columns(f, base)
+
+
+def _sparse_columns(f: DataFrame, base: DataFrame) -> DataFrame:
     j = join_facts(f, base, "pair_id", "feature").withColumn("pearson_corr", _moment_corr("w_sum", "_x", "_xx", "_y", "_yy", "_xy")).drop("_x", "_xx", "_y", "_yy", "_xy")
     return _shift_columns(j, None)
 
 
+#: Rows whose words are added up together, and sums that a task holds before it hands them on.
+TOGETHER, HELD_SUMS = 2000, 8_000_000
+
+
+def sequence_kmer_stats(training: DataFrame, catalog: DataFrame, k: int, scope: str = "all", seq: str = "sequence", w: int = 30) -> DataFrame:
+    """H09 straight from sequences: ``sparse_kmer_stats`` of their words of length ``k``. ``catalog``: one row a sequence.
+
+    Rows meet their sequence, not its words: a batch's sequences are cut once and each task adds up moments of all (pair,
+    word), so neither words nor rows by word are shuffled, and the moments of all rows of a pair come from the same pass.
+    """
+    cy, cn = F.col("count_yes").cast("double"), F.col("count_no").cast("double")
+    t = training.where(cy + cn > 0).where("pair_id IS NOT NULL").select("pair_id", "seq_id", F.coalesce(F.col("log2fc").cast("double"), F.lit(0.0)).alias("y"), cy.alias("cy"), cn.alias("cn"))
+    src = t.join(catalog.select("seq_id", F.col(seq).alias("_s")), "seq_id", "left").select("pair_id", "_s", "y", "cy", "cn")
+    sums, size = [f"a{i}" for i in range(7)], 4**k
+    kind = src.schema["pair_id"].dataType.simpleString()
+    base_of, word_of = ["w_sum", "_y", "_yy", "wy", "wn"], ["_x", "_xx", "_xy", "_sy", "_qy", "_sn", "_qn"]
+
+    def out(bases, held, odd, pair_type):
+        lines = [(p, None, v) for p, v in bases.items()] + [(p, x, v) for (p, x), v in odd.items()]
+        for p, v in held.items():
+            at = np.flatnonzero(v[0])
+            lines += zip([p] * len(at), spelled(k).take(pa.array(at)).to_pylist(), v[:, at].T)
+        values = np.stack([v for *_, v in lines]) if lines else np.zeros((0, 8))
+        return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in lines], pair_type), pa.array([x for _, x, _ in lines], pa.string()), pa.array(values[:, 0].astype("i8")),
+                                           *(pa.array(values[:, i]) for i in range(1, 8))], ["pair_id", "feature", "n", *sums])
+
+    def run(batches):
+        bases, held, odd, pair_type = {}, {}, {}, None
+        for whole in batches:
+            pair_type = whole.schema.field(0).type
+            for a in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(a, TOGETHER)
+                pairs, texts = b.column(0).dictionary_encode(), b.column(1).dictionary_encode()
+                names, pair = pairs.dictionary.to_pylist(), pairs.indices.to_numpy().astype("i8")
+                y, cy, cn = (b.column(i).to_numpy() for i in (2, 3, 4))
+                total = cy + cn
+                zero = np.zeros(len(y))
+                by_pair = np.stack([np.bincount(pair, v, len(names)) for v in (np.ones(len(y)), total, total * y, total * y * y, cy, cn, zero, zero)], 1)
+                owner, word, times, others = Rolled(texts.dictionary, w).counted(k, scope)
+                rare = sorted({x for _, x in others})
+                if rare:
+                    owner, word, times = (np.append(v, z) for v, z in ((owner, [o for o, _ in others]), (word, [size + rare.index(x) for _, x in others]), (times, list(others.values()))))
+                    order = np.argsort(owner, kind="stable")
+                    owner, word, times = owner[order], word[order], times[order]
+                length = np.bincount(owner, minlength=len(texts.dictionary) + 1)
+                row = texts.indices.fill_null(len(texts.dictionary)).to_numpy()  # without a sequence: no words
+                many, width = length[row], size + len(rare)
+                at = np.arange(many.sum()) + np.repeat((np.cumsum(length) - length)[row] - (np.cumsum(many) - many), many)
+                cell, x = np.repeat(pair, many) * width + word[at], times[at].astype("f8")
+                add = lambda v: np.bincount(cell, v, len(names) * width)
+                wx, yx, nx = (np.repeat(v, many) * x for v in (total, cy, cn))
+                got = np.stack([np.bincount(cell, minlength=len(names) * width), add(wx), add(wx * x), add(wx * np.repeat(y, many)), add(yx), add(yx * x), add(nx), add(nx * x)]).reshape(8, len(names), width)
+                for i, p in enumerate(names):
+                    bases[p] = bases[p] + by_pair[i] if p in bases else by_pair[i]
+                    held[p] = held[p] + got[:, i, :size] if p in held else got[:, i, :size].copy()
+                    for j in np.flatnonzero(got[0, i, size:]).tolist():
+                        odd[p, rare[j]] = odd.get((p, rare[j]), 0.0) + got[:, i, size + j]
+                if (len(held) * size + len(odd)) * 8 > HELD_SUMS:
+                    yield out(bases, held, odd, pair_type)
+                    bases, held, odd = {}, {}, {}
+        if pair_type is not None:
+            yield out(bases, held, odd, pair_type)
+
+    lines = src.mapInArrow(run, f"pair_id {kind}, feature string, n long, {', '.join(f'{x} double' for x in sums)}")
+    lines = keep(lines.groupBy("pair_id", "feature").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in sums]))
+    base = lines.where("feature IS NULL").select("pair_id", F.col("n").alias("n_points"), *[F.col(x).alias(z) for x, z in zip(sums, base_of)])
+    return _sparse_columns(lines.where("feature IS NOT NULL").select("pair_id", "feature", *[F.col(x).alias(z) for x, z in zip(sums, word_of)]), base)
+
+
 def merge_stats(a: DataFrame, b: DataFrame, prefer: str = "second", include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Union of two tables by (pair_id, feature); on both, the preferred one stays."""
     first, second = (0, 1) if prefer == "first" else (1, 0)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import rnd
 from ..operators import abundance as ab
-from ..operators import kmers as km
 from ..operators import stats as st
 from .fixtures import FEATS
 from .q_abundance import LOW_RULES, RENORM_SQL
@@ -108,8 +107,7 @@ WITH {KX}, fs AS (SELECT DISTINCT feature FROM kx),
 fx_long AS (SELECT t.*, fs.feature, coalesce(kx.x, 0) AS x FROM fx_training t CROSS JOIN fs LEFT JOIN kx ON kx.seq_id = t.seq_id AND kx.feature = fs.feature), {CORR}, {SHIFT}
 SELECT c.pair_id, c.feature, c.n AS n_points, c.w_sum, c.pearson_corr, s.mean_yes, s.mean_no, s.delta_yes_minus_no, s.effect_d FROM corr c JOIN sh s ON c.pair_id = s.pair_id AND c.feature = s.feature""")
 def _(t):
-    k = km.kmers_long(t.catalog, [3], ["all"]).select("seq_id", F.col("kmer").alias("feature"), F.col("n").cast("double").alias("x"))
-    return st.sparse_kmer_stats(t.training, k).drop("wy", "wn", "sd_yes", "sd_no")
+    return st.sequence_kmer_stats(t.training, t.catalog, 3).drop("wy", "wn", "sd_yes", "sd_no")
 
 
 @query("h10_merge_stats", needs=LONG, r="pearson_corr", sql=f"""
