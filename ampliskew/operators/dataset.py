@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,23 +164,32 @@ def variant_columns(features: list[str], variant: str) -> list[str]:
 
 
 def with_kmer_vectors(df: DataFrame, kmers: DataFrame, vocab: list[str], out: str = "kmers") -> DataFrame:
-    """``df`` with one sparse count vector per row over a capped vocabulary, built in the JVM; empty for sequences without its words. ``kmers``: seq_id, feature, x."""
+    """``df`` with one sparse count vector per row over a capped vocabulary, built in the JVM; empty for sequences without its words. ``kmers``: seq_id, feature, x.
+
+    Words are merged, never broadcast: there are many for each sequence, however small the files they come from.
+    """
     tok = (kmers.where(F.col("feature").isin(vocab)).groupBy("seq_id")
-           .agg(F.flatten(F.collect_list(F.array_repeat("feature", F.col("x").cast("int")))).alias("_tok")))
+           .agg(F.flatten(F.collect_list(F.array_repeat("feature", F.col("x").cast("int")))).alias("_tok"))).hint("merge")
     d = df.join(tok, "seq_id", "left").withColumn("_tok", F.coalesce("_tok", F.array().cast("array<string>")))
     return CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out).transform(d).drop("_tok")
 
 
-def assemble(df: DataFrame, features: list[str], variant: str, kmers: DataFrame | None = None, vocab: list[str] | None = None) -> DataFrame:
-    """``features`` vector of a variant: no_kmer, no_kmer_noprimer, kmer_only_all, kmer_only_k<k>, all, all_noprimer."""
+def assemble(df: DataFrame, features: list[str], variant: str, kmers: DataFrame | str | None = None, vocab: list[str] | None = None) -> DataFrame:
+    """``features`` vector of a variant: no_kmer, no_kmer_noprimer, kmer_only_all, kmer_only_k<k>, all, all_noprimer.
+
+    ``kmers``: seq_id, feature, x, or the column of ``df`` with the counts over ``vocab`` (``with_kmer_vectors``), for several variants of the same rows.
+    """
     dense = variant_columns(features, variant)
     d = df.withColumns({f: F.coalesce(number(f), F.lit(0.0)) for f in dense})
     parts = list(dense)
     if not variant.startswith("no_kmer"):
         words = vocab if not variant.startswith("kmer_only_k") else [v for v in vocab if v.startswith(f"k{variant[11:]}_")]
-        d = with_kmer_vectors(d, kmers, words)
-        parts.append("kmers")
-    return VectorAssembler(inputCols=parts, outputCol="features").transform(d)
+        if isinstance(kmers, str):
+            d = VectorSlicer(inputCol=kmers, outputCol="_kmers", indices=[i for i, w in enumerate(vocab) if w in set(words)]).transform(d)
+        else:
+            d = with_kmer_vectors(d, kmers, words, "_kmers")
+        parts.append("_kmers")
+    return VectorAssembler(inputCols=parts, outputCol="features").transform(d).drop("_kmers")
 
 
 def kmer_audit(rows: DataFrame, kmers: DataFrame, keys: list[str]) -> DataFrame:
