@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_facts
 from ..functions import seq as sq
+from ..functions.arrow import Letters
 from ..functions.cols import ratio0
 from ..functions.ranks import top_per_group
 from ..functions.words import MAX_K, Rolled, spelled
@@ -265,24 +266,54 @@ def motif_catalog(regions: DataFrame, ks=(4, 5), top: int = 20) -> DataFrame:
     return top_per_group(g, ["region", "k"], [F.desc("global_occurrence_count"), "kmer"], top).withColumnRenamed("kmer", "motif")
 
 
+#: Sequences whose motifs are counted together.
+MOTIF_ROWS = 500
+
+
+def motif_counts(texts: list[str | None], motifs: list[str], ks=(4, 5)) -> np.ndarray:
+    """How often each of ``motifs`` with a length in ``ks`` occurs in each text, overlaps included; all windows of a length are looked up at once."""
+    x = Letters([t or "" for t in texts])
+    alphabet = np.unique(Letters(motifs).code)
+    number = lambda code: np.where(alphabet[(at := np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1))] == code, at + 1, 0)
+    letter, base = number(x.code), len(alphabet) + 1
+    out = np.zeros(len(texts) * len(motifs), "i8")
+    for k in ks:
+        own, n = np.asarray([j for j, m in enumerate(motifs) if len(m) == k], "i8"), len(letter) - k + 1
+        if not len(own) or n < 1:
+            continue
+        words = number(Letters([motifs[j] for j in own]).code).reshape(-1, k) @ base ** np.arange(k)
+        by = np.argsort(words)
+        at = np.flatnonzero(x.left[:n] >= k)
+        code = sum(letter[j:j + n] * base**j for j in range(k))[at]
+        place = np.minimum(np.searchsorted(words, code, sorter=by), len(own) - 1)
+        hit = words[by[place]] == code
+        out += np.bincount(x.owner[at[hit]] * len(motifs) + own[by[place[hit]]], minlength=len(out))
+    return out.reshape(len(texts), len(motifs))
+
+
 def motif_features(regions: DataFrame, catalog: DataFrame) -> DataFrame:
     """G11, long: count and presence of every selected motif per sequence and region, zeros kept.
 
-    The catalogue is capped (regions x k x top); each row counts its motifs in place.
+    The catalogue is capped (regions x k x top), so it comes to the driver; sequences are spread over all tasks, where their motifs are counted a batch at once.
     """
-    groups = catalog.groupBy("region").agg(F.array_sort(F.collect_set("motif")).alias("motifs")).agg(
-        F.map_from_entries(F.collect_list(F.struct("region", "motifs"))).alias("_cat")).withColumn("_one", F.lit(1))
-    d = regions.withColumn("global", F.upper("sequence")).withColumn("_one", F.lit(1)).join(F.broadcast(groups), "_one")
-    ks = (4, 5)
-
-    def rows(r):
-        words = sq.let(F.concat(*[sq.windows(r, k) for k in ks]), lambda ws: F.transform(
-            F.coalesce(F.element_at("_cat", F.lit(r)), F.array().cast("array<string>")),
-            lambda m: F.struct(F.lit(r).alias("region"), m.alias("motif"), F.size(F.filter(ws, lambda x: x == m)).alias("count"))))
-        return words
-
-    long = d.select("seq_id", F.explode(F.flatten(F.array(*[rows(r) for r in MOTIF_REGIONS]))).alias("m")).select("seq_id", "m.*")
-    return long.withColumn("present", (F.col("count") > 0).cast("int"))
+    found: dict[str, list[str]] = {}
+    for r in catalog.select("region", "motif").distinct().collect():
+        found.setdefault(r.region, []).append(r.motif)
+    motifs = {r: sorted(found[r]) for r in MOTIF_REGIONS if r in found}
+    src = spread(regions).withColumn("global", F.upper("sequence")).select("seq_id", *motifs)
+    names = ["seq_id", "region", "motif", "count", "present"]
+
+    def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, MOTIF_ROWS):
+                b = whole.slice(a, MOTIF_ROWS)
+                for i, (region, own) in enumerate(motifs.items()):
+                    n = motif_counts(b.column(i + 1).to_pylist(), own).ravel().astype("i4")
+                    rows = np.repeat(np.arange(b.num_rows), len(own))
+                    motif = pa.array(own, pa.string()).take(pa.array(np.tile(np.arange(len(own)), b.num_rows)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([region]).take(pa.array(np.zeros(len(n), "i8"))), motif, pa.array(n), pa.array((n > 0).astype("i4"))], names)
+
+    return src.mapInArrow(run, f"seq_id {src.schema['seq_id'].dataType.simpleString()}, region string, motif string, count int, present int")
 
 
 def sample_kmer_norm(ab: DataFrame, kmers: DataFrame, vocab: DataFrame, totals: DataFrame) -> DataFrame:
